@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tarnflow.llm import mixing
+from tarnflow.llm import bpe_tree, licenses, mixing
 
 QUERIES = {
+    "op3_bpe_tree": bpe_tree.op3,
     "op7_mix_sources": mixing.op7,
+    "op8_license_scan": licenses.op8,
 }
 
 SQL = {
