@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tarnflow.llm import bpe_tree, licenses, mixing
+from tarnflow.llm import bpe_tree, licenses, media, mixing
 
 QUERIES = {
     "op3_bpe_tree": bpe_tree.op3,
     "op7_mix_sources": mixing.op7,
     "op8_license_scan": licenses.op8,
+    "op10_media_columns": media.op10,
 }
 
 SQL = {
