@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tarnflow.llm import bpe_tree, licenses, media, mixing
+from tarnflow.llm import bpe_tree, licenses, media, mixing, token_files
 
 QUERIES = {
     "op3_bpe_tree": bpe_tree.op3,
+    "op6_token_files": token_files.op6,
     "op7_mix_sources": mixing.op7,
     "op8_license_scan": licenses.op8,
     "op10_media_columns": media.op10,
