@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections import ChainMap
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -153,10 +153,12 @@ def unpack_block(model: Model, block: bytes, first: int = 0, count: int | None =
 
 
 #: Distinct words whose ids a worker remembers; beyond it no more are added, which changes speed only.
-REMEMBERED = 800_000
-#: ASCII white space and what stands before the next of it; together the pieces are the text.
-PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-ODD_SPACE = re.compile(r"[^\S \n\t\r]")
+REMEMBERED = 1_200_000
+#: Pieces that together are the text: white space and word characters, or white space, ASCII punctuation
+#: and the word characters after it ("'s" may not be cut).
+PIECE = re.compile(r"[ \n\t\r]*(?:[^ \n\t\r!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+[^ \n\t\r!-/:-@\[-`{-~]*)|[ \n\t\r]+")
+#: Characters with which the cuts would not be safe: white space beyond ASCII, controls, symbols beyond ASCII.
+ODD = re.compile(r"[^\S \n\t\r]|[^\w\x20-\x7e\n\t\r]")
 
 
 @lru_cache(maxsize=2)
@@ -171,29 +173,34 @@ def load_tokenizer(path: str):
 class WordEncoder:
     """Whole texts to ids (as little-endian bytes), remembering the ids of words.
 
-    The pre-tokenizer never joins a non-space with a space after it, so a text falls
-    into words, each with the white space before it, and the ids of a text are
-    the ids of these in a row. Only words not met before go through the tokenizer, in
-    one batch. Texts with white space beyond ASCII go through it whole.
+    No alternative of the pre-tokenizer's pattern joins a non-space with a space after
+    it, or a letter or digit with punctuation after it, and none looks behind. So a
+    text falls into pieces, and the ids of a text are the ids of these in a row. Only
+    pieces not met before go through the tokenizer, in one batch. Texts with characters
+    for which this is not certain go through it whole.
     """
 
     def __init__(self, path: str, dtype: str = "<u2") -> None:
         self.tokenizer = load_tokenizer(path)
+        self.code = {"<u2": "H", "<u4": "I"}[dtype]
         self.dtype = dtype
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        split = [[t] if ODD_SPACE.search(t) else PIECE.findall(t) for t in texts]
-        new = list({p for pieces in split for p in pieces if p not in known})
+        split = [[t] if ODD.search(t) else PIECE.findall(t) for t in texts]
+        found = [list(map(known.get, pieces)) for pieces in split]
+        new = list({p for pieces, ids in zip(split, found, strict=True) if None in ids for p, i in zip(pieces, ids, strict=True) if i is None})
+        fresh: dict[str, bytes] = {}
         if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            ids = {piece: np.array(f.ids, self.dtype).tobytes() for piece, f in zip(new, found, strict=True)}
-            if len(known) + len(ids) <= REMEMBERED:
-                known.update(ids)
-            else:  # full: what came first are mostly the frequent words
-                known = ChainMap(ids, known)
-        return [b"".join([known[p] for p in pieces]) for pieces in split]
+            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            fresh = {piece: array(self.code, e.ids).tobytes() for piece, e in zip(new, encoded, strict=True)}
+            if len(known) + len(fresh) <= REMEMBERED:  # once full, what came first are mostly the frequent words
+                known.update(fresh)
+        return [
+            b"".join(ids if None not in ids else [fresh[p] if i is None else i for p, i in zip(pieces, ids, strict=True)])
+            for pieces, ids in zip(split, found, strict=True)
+        ]
 
 
 @lru_cache(maxsize=1)
