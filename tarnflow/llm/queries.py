@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tarnflow.llm import bpe_tree, licenses, media, mixing, token_files
+from tarnflow.llm import bpe_tree, licenses, media, mixing, pii, token_files
 
 QUERIES = {
+    "op1_pii_spans": pii.op1,
     "op3_bpe_tree": bpe_tree.op3,
     "op6_token_files": token_files.op6,
     "op7_mix_sources": mixing.op7,
