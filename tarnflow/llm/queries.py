@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tarnflow.llm import bpe_tree, licenses, media, mixing, pii, token_files
+from tarnflow.llm import bpe_tree, langid, licenses, media, mixing, pii, token_files
 
 QUERIES = {
     "op1_pii_spans": pii.op1,
+    "op2_language_id": langid.op2,
     "op3_bpe_tree": bpe_tree.op3,
     "op6_token_files": token_files.op6,
     "op7_mix_sources": mixing.op7,
