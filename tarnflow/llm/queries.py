@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnflow.llm import bpe_tree, langid, licenses, media, mixing, pii, token_files
+from tarnflow.llm import bpe_tree, html_main, langid, licenses, media, mixing, pii, token_files
 
 QUERIES = {
     "op1_pii_spans": pii.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_token_files": token_files.op6,
     "op7_mix_sources": mixing.op7,
     "op8_license_scan": licenses.op8,
+    "op9_html_main_text": html_main.op9,
     "op10_media_columns": media.op10,
 }
 
