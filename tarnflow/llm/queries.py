@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tarnflow.llm import bpe_tree, html_main, jaccard, langid, licenses, media, mixing, pii, token_files
+from tarnflow.llm import bpe_tree, embeddings, html_main, jaccard, langid, licenses, media, mixing, pii, token_files
 
 QUERIES = {
     "op1_pii_spans": pii.op1,
     "op2_language_id": langid.op2,
     "op3_bpe_tree": bpe_tree.op3,
+    "op4_embedding_dedup": embeddings.op4,
     "op5_ngram_jaccard": jaccard.op5,
     "op6_token_files": token_files.op6,
     "op7_mix_sources": mixing.op7,
