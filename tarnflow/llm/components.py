@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import materialize
+from tarnflow.llm.common import discard, materialize
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,6 +18,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     both = links.select(F.col(a).alias("a"), F.col(b).alias("b")).union(links.select(F.col(b), F.col(a))).distinct()
     edges = materialize(both, "edges")
     labels = materialize(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("node"), "root"), "labels")
+    table = labels
     while True:
         heard = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
         nearer = labels.join(heard, labels["node"] == heard["a"]).select("node", "root", F.least("root", "near").alias("next"))
@@ -25,6 +26,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         jump = step.select(F.col("node").alias("at"), F.col("next").alias("beyond"))
         jumped = step.join(jump, step["next"] == jump["at"]).select("node", F.least("next", "beyond").alias("root"), (F.least("next", "beyond") != F.col("root")).alias("moved"))
         done = materialize(jumped, "labels")
-        labels = done.select("node", "root")
-        if done.where("moved").isEmpty():
+        moved = not done.where("moved").isEmpty()
+        discard(step, table)
+        labels, table = done.select("node", "root"), done
+        if not moved:
+            discard(edges)
             return labels

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import materialize, table
+from tarnflow.llm.common import discard, materialize, table
 from tarnflow.llm.components import connected_components
 
 THRESHOLD = 0.9
@@ -204,6 +204,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     result = materialize(rooted.join(least, "root").select("class_id", "n_links", "component_id"), "embedding-components")
     rows = stored.select("vec_id", F.when(F.col("values").isNotNull(), F.col("class_id")).alias("class_id")).join(result, "class_id", "left")
     component = F.coalesce("component_id", "vec_id")
+    discard(filed, found, rooted)
     return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 

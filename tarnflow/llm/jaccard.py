@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import materialize, table
+from tarnflow.llm.common import discard, materialize, table
 from tarnflow.llm.components import connected_components
 
 WORDS = 3
@@ -235,6 +235,8 @@ def jaccard_components(
     more = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     linked = compared.where("link").select("a", "b").union(verify(more, sets, percent).where(similar).select("a", "b"))
     roots = connected_components(linked)
+    # All that follows reads roots and profiles only.
+    discard(shared, sets, compared, placed)
 
     names = profile.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     rooted = names.join(roots, names["set_id"] == roots["node"], "left").select("set_id", "first", F.coalesce("root", "set_id").alias("root"))
