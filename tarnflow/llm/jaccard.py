@@ -1,10 +1,10 @@
 """N-gram Jaccard self-join with prefix filters under several global token orders.
 
-A token order is a seeded hash of the shingle. Two sets whose Jaccard similarity
-reaches the threshold must share a token among the first ``n - ceil(t n) + 1`` of both
-under *any* global order, so a pair is a candidate only if it shares prefix tokens under
-all orders. The first order generates candidates by posting lists, the others are tested
-on these before any set is verified.
+Two sets whose Jaccard similarity reaches the threshold must share a token among the
+first ``n - ceil(t n) + 1`` of both under *any* global order, so a pair is a candidate only if it
+shares prefix tokens under all orders. The first order puts rare shingles first, by counts
+over all documents kept in a table of fixed size; it generates candidates by posting
+lists. The others are seeded hashes, tested on these before any set is verified.
 
 Posting lists are keyed by token and size class, so documents of incomparable sizes never
 meet. In a list with several classes all are first compared with one hub. Those that
@@ -16,9 +16,11 @@ all its pairs, and no link between components can be lost.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +31,11 @@ from tarnflow.llm.components import connected_components
 WORDS = 3
 #: Similarity in hundredths: 100 * intersection >= PERCENT * union.
 PERCENT = 90
-#: Seeds of the token orders; the first makes candidates, all filter them.
+#: Counters of the frequency table. Shingles that share one are taken for equally frequent,
+#: which can only make candidates fewer or more, not the result wrong.
+COUNTERS = 1 << 21
+CHUNKS = 64
+#: Seeds of the token orders; the first breaks ties of frequency.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Bytes of text hashed in one go, and bits of the filter on texts that are read again.
 SEGMENT = 1 << 21
@@ -110,6 +116,41 @@ def prefix(tokens: np.ndarray, seed: int, percent: int = PERCENT) -> np.ndarray:
     return ranks if size >= len(ranks) else np.partition(ranks, size - 1)[:size]
 
 
+def rare_prefix(tokens: np.ndarray, counters: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The first tokens of a set when rare ones come first; with a tie at the end, all that tie."""
+    keys = (counters[tokens & np.uint64(len(counters) - 1)].astype(np.uint64) << np.uint64(32)) | (mix(tokens ^ np.uint64(ORDERS[0])) >> np.uint64(32))
+    size = prefix_length(len(tokens), percent)
+    return tokens if size >= len(tokens) else tokens[keys <= np.partition(keys, size - 1)[size - 1]]
+
+
+def count_shingles(documents: DataFrame, text_col: str, words: int) -> np.ndarray:
+    """How often shingles occur, in COUNTERS counters: summed in tasks, then in two rounds of chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        counts = np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            for text in batch.column("text"):
+                tokens = shingle_set((text.as_py() or "").encode("utf-8"), words)
+                np.add.at(counts, (tokens & np.uint64(COUNTERS - 1)).astype(np.intp), 1)
+        blobs = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, CHUNKS)]
+        task = TaskContext.get().partitionId() % 32
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "part", "counts"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.int64) for c in rows["counts"])
+        held = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "part": [0], "counts": [zlib.compress(held.tobytes(), 1)]})
+
+    schema = "chunk int, part int, counts binary"
+    partial = documents.select(documents[text_col].alias("text")).mapInArrow(run, schema).groupBy("chunk", "part").applyInPandas(add, schema)
+    counters = np.zeros(COUNTERS, np.uint32)
+    for row in partial.groupBy("chunk").applyInPandas(add, schema).collect():
+        np.split(counters, CHUNKS)[row["chunk"]][:] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
+    return counters
+
+
 def size_class(n: int, percent: int = PERCENT) -> int:
     """Sizes that can be similar are in the same or in neighbouring classes."""
     return int(math.log(n) / (math.log(100 / percent) * 1.001))
@@ -121,7 +162,7 @@ def class_of(tokens: np.ndarray) -> int:
         return int(mix(np.array([mix(tokens ^ _PLACE[0]).sum() + np.uint64(len(tokens)) * _PLACE[1]], np.uint64)).view(np.int64)[0])
 
 
-def profiles(documents: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+def profiles(documents: DataFrame, id_col: str, text_col: str, words: int, percent: int, counters: np.ndarray) -> DataFrame:
     """``doc_id, set_id, n, size, tokens``: name and size of each set and its prefix in the first order."""
     narrow = documents.select(documents[id_col].alias("doc_id"), documents[text_col].alias("text"))
     kind = dict(narrow.dtypes)["doc_id"]
@@ -134,7 +175,7 @@ def profiles(documents: DataFrame, id_col: str, text_col: str, words: int, perce
                 counts.append(len(found))
                 names.append(class_of(found) if len(found) else None)
                 sizes.append(size_class(len(found), percent) if len(found) else None)
-                tokens.append(prefix(found, ORDERS[0], percent).view(np.int64) if len(found) else [])
+                tokens.append(rare_prefix(found, counters, percent).view(np.int64) if len(found) else [])
             columns = [batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_id", "n", "size", "tokens"])
 
@@ -210,7 +251,8 @@ def jaccard_components(
     are never paired; repeated rows each give a row. Other columns are ignored; no
     rows give no rows. Sets are told apart by 64-bit hashes of their shingles.
     """
-    profile = materialize(profiles(documents, id_col, text_col, words, percent), "jaccard-profiles")
+    counters = count_shingles(documents, text_col, words)
+    profile = materialize(profiles(documents, id_col, text_col, words, percent, counters), "jaccard-profiles")
     classes = profile.where("n > 0").select("set_id", "size", "tokens").dropDuplicates(["set_id"])
     lists = classes.select("set_id", F.explode("tokens").alias("token"), "size").select("set_id", F.explode(F.array(F.xxhash64("token", "size"), F.xxhash64("token", F.col("size") - 1))).alias("list"))
     whole = Window.partitionBy("list")
