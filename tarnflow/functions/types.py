@@ -124,9 +124,9 @@ def to_milliseconds(duration: str | int) -> int:
     """``5000``, ``'5 seconds'``, ``'5s'``, ``'1 day'`` or ``INTERVAL '5' SECOND`` as milliseconds."""
     if isinstance(duration, int) or str(duration).strip().isdigit():
         return int(duration)
-    found = re.fullmatch(r"\s*(?:INTERVAL\s+)?'?\s*(\d+)\s*'?\s*([A-Za-z]+?)s?\s*", str(duration), re.I)
+    found = re.fullmatch(r"\s*(?:INTERVAL\s+)?'?\s*(\d+)\s*'?\s*([A-Za-z]+)\s*", str(duration), re.I)
     unit = found[2].lower() if found else ""
-    unit = unit if unit in _UNITS else unit + "s"
+    unit = unit if unit in _UNITS else unit.removesuffix("s")
     if not found or unit not in _UNITS:
         raise ValueError(f"cannot read duration {duration!r}")
     return int(found[1]) * _UNITS[unit]
