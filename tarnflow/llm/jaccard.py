@@ -2,15 +2,17 @@
 
 Two sets whose Jaccard similarity reaches the threshold must share a token among the
 first ``n - ceil(t n) + 1`` of both under *any* global order, so a pair is a candidate only if it
-shares prefix tokens under all orders. The first order puts rare shingles first, by counts
-over all documents kept in a table of fixed size; it generates candidates by posting
+shares prefix tokens under all orders. The first order puts shingles with rare words first, by counts
+of words over all documents kept in a table of fixed size; it generates candidates by posting
 lists. The others are seeded hashes, tested on these before any set is verified.
 
 Posting lists are keyed by token and size class, so documents of incomparable sizes never
 meet. In a list with several classes all are first compared with one hub. Those that
-link to it are in one component, whatever their pairs; only the others meet the rest of
-the list. A large group of near copies thus costs one comparison per member instead of
-all its pairs, and no link between components can be lost.
+link to it are in one component, whatever their pairs. Those that are akin to it but do
+not link can link only with sets that differ from the hub in the same tokens; a second
+prefix filter, over the differences from the hub, finds these. Only what has nothing to do
+with the hub meets the rest of the list. A large group of near copies thus costs one comparison
+per member instead of all its pairs, and no link between components can be lost.
 """
 
 from __future__ import annotations
@@ -31,9 +33,9 @@ from tarnflow.llm.components import connected_components
 WORDS = 3
 #: Similarity in hundredths: 100 * intersection >= PERCENT * union.
 PERCENT = 90
-#: Counters of the frequency table. Shingles that share one are taken for equally frequent,
+#: Counters of the frequency table. Words that share one are taken for equally frequent,
 #: which can only make candidates fewer or more, not the result wrong.
-COUNTERS = 1 << 21
+COUNTERS = 1 << 22
 CHUNKS = 64
 #: Seeds of the token orders; the first breaks ties of frequency.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -92,17 +94,36 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
+def _shingles(hashes: np.ndarray, words: int) -> np.ndarray:
+    width = min(words, len(hashes))
+    total = np.full(len(hashes) - width + 1, width, np.uint64)
+    for k in range(width):
+        total = mix(total + hashes[k : len(hashes) - width + 1 + k] * _PLACE[k % 3])
+    return total
+
+
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     """The distinct shingles of a text as sorted 64-bit hashes."""
     hashes = word_hashes(text)
-    n = len(hashes)
-    if not n:
+    return np.unique(_shingles(hashes, words)) if len(hashes) else hashes
+
+
+def _counter_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(COUNTERS - 1)).astype(np.intp)
+
+
+def rare_first(text: bytes, counters: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """The distinct shingles of a text in the first order: by their rarest word, then by hash."""
+    hashes = word_hashes(text)
+    if not len(hashes):
         return hashes
-    width = min(words, n)
-    total = np.full(n - width + 1, width, np.uint64)
-    for k in range(width):
-        total = mix(total + hashes[k : n - width + 1 + k] * _PLACE[k % 3])
-    return np.unique(total)
+    shingles, width = _shingles(hashes, words), min(words, len(hashes))
+    counts = counters[_counter_of(hashes)]
+    rarity = counts[: len(shingles)]
+    for k in range(1, width):
+        rarity = np.minimum(rarity, counts[k : k + len(shingles)])
+    tokens, at = np.unique(shingles, return_index=True)
+    return tokens[np.lexsort((tokens, rarity[at]))]
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -116,15 +137,8 @@ def prefix(tokens: np.ndarray, seed: int, percent: int = PERCENT) -> np.ndarray:
     return ranks if size >= len(ranks) else np.partition(ranks, size - 1)[:size]
 
 
-def rare_prefix(tokens: np.ndarray, counters: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first tokens of a set when rare ones come first; with a tie at the end, all that tie."""
-    keys = (counters[tokens & np.uint64(len(counters) - 1)].astype(np.uint64) << np.uint64(32)) | (mix(tokens ^ np.uint64(ORDERS[0])) >> np.uint64(32))
-    size = prefix_length(len(tokens), percent)
-    return tokens if size >= len(tokens) else tokens[keys <= np.partition(keys, size - 1)[size - 1]]
-
-
-def count_shingles(documents: DataFrame, text_col: str, words: int) -> np.ndarray:
-    """How often shingles occur, in COUNTERS counters: summed in tasks, then in two rounds of chunks."""
+def count_words(documents: DataFrame, text_col: str) -> np.ndarray:
+    """How often words occur, in COUNTERS counters: summed in tasks, then in two rounds of chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -132,8 +146,7 @@ def count_shingles(documents: DataFrame, text_col: str, words: int) -> np.ndarra
         counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for text in batch.column("text"):
-                tokens = shingle_set((text.as_py() or "").encode("utf-8"), words)
-                np.add.at(counts, (tokens & np.uint64(COUNTERS - 1)).astype(np.intp), 1)
+                np.add.at(counts, _counter_of(word_hashes((text.as_py() or "").encode("utf-8"))), 1)
         blobs = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, CHUNKS)]
         task = TaskContext.get().partitionId() % 32
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "part", "counts"])
@@ -171,11 +184,11 @@ def profiles(documents: DataFrame, id_col: str, text_col: str, words: int, perce
         for batch in batches:
             names, counts, sizes, tokens = [], [], [], []
             for text in batch.column("text"):
-                found = shingle_set((text.as_py() or "").encode("utf-8"), words)
+                found = rare_first((text.as_py() or "").encode("utf-8"), counters, words)
                 counts.append(len(found))
                 names.append(class_of(found) if len(found) else None)
                 sizes.append(size_class(len(found), percent) if len(found) else None)
-                tokens.append(rare_prefix(found, counters, percent).view(np.int64) if len(found) else [])
+                tokens.append(found[: prefix_length(len(found), percent)].view(np.int64) if len(found) else [])
             columns = [batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_id", "n", "size", "tokens"])
 
@@ -221,22 +234,71 @@ def wanted_sets(documents: DataFrame, wanted: DataFrame, text_col: str, words: i
     return materialize(found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "jaccard-sets")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b, inter, n_a, n_b`` of pairs that pass all filters, with their exact intersection."""
+def filtered(pairs: DataFrame, sets: DataFrame, percent: int | None) -> DataFrame:
+    """Pairs that pass the filters of size and of the other orders, with both sets: ``a, b, n_a, n_b, all_a, all_b``.
+
+    Without ``percent`` the size does not matter, and one of the other orders is enough.
+    """
 
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("set_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-    near = (
-        pairs.join(side("a", "n", "second", "third"), "a")
-        .join(side("b", "n", "second", "third"), "b")
-        .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
-        .select("a", "b", "n_a", "n_b")
-    )
+    second, third = F.arrays_overlap("second_a", "second_b"), F.arrays_overlap("third_a", "third_b")
+    similar = second | third if percent is None else (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & second & third
+    near = pairs.join(side("a", "n", "second", "third"), "a").join(side("b", "n", "second", "third"), "b").where(similar).select("a", "b", "n_a", "n_b")
     near = materialize(near, "jaccard-candidates")
-    full = near.join(side("a", "all"), "a").join(side("b", "all"), "b")
-    return full.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("all_a", "all_b")).alias("inter"))
+    return near.join(side("a", "all"), "a").join(side("b", "all"), "b")
+
+
+def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of the pairs that link, by their exact intersection."""
+    counted = filtered(pairs, sets, percent).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("all_a", "all_b")).alias("inter"))
+    return counted.where(100 * F.col("inter") >= percent * (F.col("n_a") + F.col("n_b") - F.col("inter"))).select("a", "b")
+
+
+def compare_with_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``set_id, hub, n, link, more, less`` of the sets that are akin to their hub.
+
+    ``more`` are the tokens that the set has beyond the hub's, ``less`` those it lacks. Sets
+    with a similarity to the hub below 0.2, or found by none of the other orders, are not akin.
+    """
+    both = filtered(pairs, sets, None).select(
+        F.col("a").alias("set_id"), F.col("b").alias("hub"), F.col("n_a").alias("n"), "n_b", F.array_except("all_a", "all_b").alias("more"), F.array_except("all_b", "all_a").alias("less")
+    )
+    inter, union = F.col("n") - F.size("more"), F.col("n_b") + F.size("more")
+    return both.where(5 * inter >= union).withColumn("link", 100 * inter >= percent * union).drop("n_b")
+
+
+def pairs_by_difference(compared: DataFrame, percent: int) -> DataFrame:
+    """Candidates ``a, b`` among the sets akin to one hub, at least one of them not linked to it.
+
+    Two sets whose differences from the hub have sizes ``g`` and ``h`` and ``o`` tokens in common are
+    ``g + h - 2 o`` tokens apart; similar ones at most ``(100 - percent) / (100 + percent)`` of their sizes.
+    So their differences share one of their first tokens under any order, early enough to leave
+    room for the others. The order puts what many sets of the hub differ in last.
+    """
+    share = (100 - percent) / (100 + percent)
+    busy = compared.groupBy("hub").agg(F.count("*").alias("members"), F.max(~F.col("link")).alias("open")).where("members > 1 AND open").select("hub", "members")
+    busy = materialize(busy, "jaccard-busy")
+    # The last bit says whether a token is there or missing.
+    coded = compared.join(busy.select("hub"), "hub", "left_semi").select(
+        "hub", "set_id", "n", "link", F.transform("more", lambda t: t.bitwiseAND(F.lit(-2))).alias("more"), F.transform("less", lambda t: t.bitwiseOR(F.lit(1))).alias("less")
+    )
+    seen = coded.select("hub", F.explode(F.concat("more", "less")).alias("token")).groupBy("hub", "token").agg(F.count("*").alias("times")).where("times > 2")
+    # At most ten times the mean size of a difference.
+    popular = seen.join(busy, "hub").where(10 * F.col("times") > F.col("members")).groupBy("hub").agg(F.collect_set("token").alias("popular"))
+    ordered = coded.join(popular, "hub", "left").withColumn("popular", F.coalesce("popular", F.array().cast("array<long>")))
+    tokens = F.concat(F.array_sort(F.array_except("more", "popular")), F.array_sort(F.array_except("less", "popular")), F.array_sort(F.array_intersect(F.concat("more", "less"), F.col("popular"))))
+    ordered = ordered.select("hub", "set_id", "n", "link", tokens.alias("tokens"), F.size(tokens).alias("gap"))
+    common = F.when(F.col("link"), F.floor(F.col("gap") * (1 - share) / 2) - 2).otherwise(F.col("gap") - F.floor(F.col("n") * (100 - percent) / percent))
+    kept = F.greatest(F.lit(1), F.col("gap") - F.greatest(F.lit(1), common) + 1).cast("int")
+    first = ordered.select("hub", "set_id", "n", "link", "gap", F.posexplode(F.slice("tokens", F.lit(1), kept)).alias("pos", "token"))
+    keyed = materialize(first.select(F.xxhash64("hub", "token").alias("key"), "set_id", "n", "link", "gap", "pos"), "jaccard-differences")
+    x, y = keyed.where("not link").alias("x"), keyed.alias("y")
+    room = 2 * F.least(F.col("x.gap") - F.col("x.pos"), F.col("y.gap") - F.col("y.pos"))
+    close = room >= F.col("x.gap") + F.col("y.gap") - F.floor(share * (F.col("x.n") + F.col("y.n")) + 1e-9)
+    once = F.col("y.link") | (F.col("x.set_id") < F.col("y.set_id"))
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set_id") != F.col("y.set_id")) & once & close).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
 
 
 def jaccard_components(
@@ -251,31 +313,31 @@ def jaccard_components(
     are never paired; repeated rows each give a row. Other columns are ignored; no
     rows give no rows. Sets are told apart by 64-bit hashes of their shingles.
     """
-    counters = count_shingles(documents, text_col, words)
+    counters = count_words(documents, text_col)
     profile = materialize(profiles(documents, id_col, text_col, words, percent, counters), "jaccard-profiles")
-    classes = profile.where("n > 0").select("set_id", "size", "tokens").dropDuplicates(["set_id"])
-    lists = classes.select("set_id", F.explode("tokens").alias("token"), "size").select("set_id", F.explode(F.array(F.xxhash64("token", "size"), F.xxhash64("token", F.col("size") - 1))).alias("list"))
+    classes = profile.where("n > 0").select("set_id", "n", "size", "tokens").dropDuplicates(["set_id"])
+    tokens = classes.select("set_id", "n", "size", F.posexplode("tokens").alias("pos", "token"))
+    lists = tokens.select("set_id", "n", "pos", F.explode(F.array(F.xxhash64("token", "size"), F.xxhash64("token", F.col("size") - 1))).alias("list"))
     whole = Window.partitionBy("list")
     shared = lists.withColumn("hub", F.min("set_id").over(whole)).withColumn("last", F.max("set_id").over(whole)).where("hub < last")
-    shared = materialize(shared.select("list", "set_id", "hub"), "jaccard-lists")
+    shared = materialize(shared.select("list", "set_id", "hub", "n", "pos"), "jaccard-lists")
 
     sets = wanted_sets(documents, shared.select("set_id").distinct(), text_col, words, percent)
-    similar = F.col("inter") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("inter"))
     to_hub = shared.where("set_id <> hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct()
-    compared = materialize(verify(to_hub, sets, percent).withColumn("link", similar), "jaccard-hubs")
+    compared = materialize(compare_with_hubs(to_hub, sets, percent), "jaccard-hubs")
 
-    # Distances bound one another: |d(x, hub) - d(y, hub)| <= d(x, y).
-    distance = (1 - F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))).alias("away")
-    known = compared.select(F.col("a").alias("set_id"), F.col("b").alias("hub"), "link", distance)
-    placed = materialize(
-        shared.where("set_id <> hub").join(known, ["set_id", "hub"], "left").select("list", "set_id", F.coalesce("link", F.lit(False)).alias("link"), "away"), "jaccard-placed"
-    )
-    apart = placed.where("not link").select("list", F.col("set_id").alias("a"), F.col("away").alias("away_a"))
-    others = placed.select("list", F.col("set_id").alias("b"), F.col("away").alias("away_b"), "link")
-    bound = F.abs(F.col("away_a") - F.col("away_b")) <= (100 - percent) / 100 + 1e-9
-    rest = apart.join(others, "list").where((F.col("link") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")) & F.coalesce(bound, F.lit(True)))
-    more = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    linked = compared.where("link").select("a", "b").union(verify(more, sets, percent).where(similar).select("a", "b"))
+    by_hub = pairs_by_difference(compared, percent)
+
+    # Sets that have nothing to do with the hub, with all others of the list.
+    others = shared.where("set_id <> hub").join(compared.select("set_id", "hub", F.lit(True).alias("akin")), ["set_id", "hub"], "left")
+    placed = materialize(others.select("list", "set_id", "n", "pos", F.coalesce("akin", F.lit(False)).alias("akin")), "jaccard-placed")
+    u, v = placed.where("not akin").alias("u"), placed.alias("v")
+    fits = F.least(F.col("u.n") - F.col("u.pos"), F.col("v.n") - F.col("v.pos")) >= F.ceil(percent / (100 + percent) * (F.col("u.n") + F.col("v.n")) - 1e-9)
+    once = F.col("v.akin") | (F.col("u.set_id") < F.col("v.set_id"))
+    in_list = u.join(v, (F.col("u.list") == F.col("v.list")) & (F.col("u.set_id") != F.col("v.set_id")) & once & fits).select(F.col("u.set_id").alias("a"), F.col("v.set_id").alias("b"))
+
+    more = by_hub.union(in_list).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    linked = compared.where("link").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).union(linked_pairs(more, sets, percent))
     roots = connected_components(linked)
     # All that follows reads roots and profiles only.
     discard(shared, sets, compared, placed)
