@@ -50,7 +50,7 @@ def _assignments(pattern: str) -> list[tuple[str, str]]:
     return re.findall(r"([A-Za-z_]\w*)\s*((?:[*+?]|\{\d*,?\d*\})?\??)", pattern)
 
 
-def _match(rows: list[dict], masks: list[int], steps: list[tuple[str, int, int, bool]], bit: dict[str, int], relations: dict[str, Relation], start: int) -> list[str] | None:
+def _match(rows: list[dict] | None, masks: list[int], steps: list[tuple[str, int, int, bool]], bit: dict[str, int], relations: dict[str, Relation], start: int) -> list[str] | None:
     """Variables of the rows from ``start`` on, or None; backtracks over how often each step repeats."""
     stack = [(0, start, 0, [])]
     while stack:
@@ -60,7 +60,7 @@ def _match(rows: list[dict], masks: list[int], steps: list[tuple[str, int, int,
                 return names
             continue
         name, least, most, greedy = steps[step]
-        fits = times < most and at < len(rows) and masks[at] >> bit[name] & 1
+        fits = times < most and at < len(masks) and masks[at] >> bit[name] & 1
         if fits and name in relations:
             bound: dict[str, list[dict]] = {}
             for k, used in enumerate(names):
@@ -149,9 +149,13 @@ def match_rows(
         part = part.sort_values(order_by, kind="stable")
         masks = part["__mask"].tolist()
         signs = "".join(chr(_BASE + m) for m in masks)
-        rows = part[columns].astype(object).where(part[columns].notna(), None).to_dict("records")
+        if compiled.search(signs) is None:
+            return pd.DataFrame([], columns=[f.name for f in schema.fields])
+        cells = {c: part[c].astype(object).where(part[c].notna(), None).tolist() for c in columns}
+        rows = [dict(zip(cells, values, strict=True)) for values in zip(*cells.values(), strict=True)] if relations else None
+        keys = [part[c].iloc[0] for c in partition_by]
         found, at = [], 0
-        while at < len(rows):
+        while at < len(masks):
             if steps:
                 # The expression finds where a match can begin; the steps say which row is which variable.
                 hit = compiled.search(signs, at)
@@ -170,8 +174,8 @@ def match_rows(
                 if not names:
                     at += 1
                     continue
-            matched = rows[at : at + len(names)]
-            found.append([part[c].iloc[0] for c in partition_by] + [_measure(m, matched, names) for m, _ in measures.values()])
+            matched = rows[at : at + len(names)] if relations else [{c: v[k] for c, v in cells.items()} for k in range(at, at + len(names))]
+            found.append(keys + [_measure(m, matched, names) for m, _ in measures.values()])
             at += len(names) if after == "past_last" else 1
         return pd.DataFrame(found, columns=[f.name for f in schema.fields])
 
