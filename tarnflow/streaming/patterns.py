@@ -1,0 +1,78 @@
+"""Row patterns on streams: the state of a key is what may still be part of a match."""
+
+from __future__ import annotations
+
+import io
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tarnflow.functions.dialect import quote, rewrite
+from tarnflow.functions.types import Watermark, parse_type, to_milliseconds, with_watermark
+from tarnflow.operators.pattern import _NAME, _assignments, _bounds, _match, _measure, compile_pattern
+
+
+def match_stream(
+    df: DataFrame, partition_by: list[str], watermark: Watermark, pattern: str, define: dict[str, str], measures: dict[str, tuple[str, str]], within: str | int
+) -> DataFrame:
+    """Matches of a pattern in event-time order, each emitted once the watermark has passed its rows.
+
+    Conditions look at their own row only; the pattern is a sequence of variables with
+    quantifiers. A match spans at most ``within``, so rows older than that leave the state. After
+    a match the search goes on past its last row. The result is in ``append`` mode.
+    """
+    import re
+
+    variables = list(dict.fromkeys(_NAME.findall(re.sub(r"\{[^}]*\}", "", pattern))))
+    compile_pattern(pattern, variables)
+    steps = [(n, *_bounds(q)) for n, q in _assignments(pattern)]
+    if not steps:
+        raise ValueError("a pattern on a stream is a sequence of variables")
+    bit = {v: k for k, v in enumerate(variables)}
+    limit, time = to_milliseconds(within), watermark.column
+    mask = F.lit(0)
+    for k, name in enumerate(variables):
+        mask = mask + F.when(F.expr(rewrite(define.get(name, "true"))), 1 << k).otherwise(0)
+    used = [c for c in df.columns if c not in partition_by and (c == time or any(re.search(rf"\b{re.escape(c)}\b", m) for m, _ in measures.values()))]
+    timed = with_watermark(df, watermark)
+    marked = timed.select(*[quote(c) for c in partition_by], *[quote(c) for c in used], mask.alias("__mask"), F.unix_millis(quote(time)).alias("__at"))
+    out = T.StructType([df.schema[c] for c in partition_by] + [T.StructField(a, parse_type(t)) for a, (_, t) in measures.items()])
+    kinds = [c for c in used if timed.schema[c].dataType.typeName().startswith("timestamp")]
+
+    def update(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = [pd.read_json(io.StringIO(state.get[0]), orient="split", dtype=False, convert_dates=False)] if state.exists else []
+        new = [b[[*used, "__mask", "__at"]] for b in ([] if state.hasTimedOut else batches)]
+        # Times are held as microseconds, which JSON keeps as they are.
+        new = [b.assign(**{c: b[c].astype("datetime64[us]").astype("int64") for c in kinds}) for b in new]
+        rows = pd.concat([*held, *new], ignore_index=True).sort_values("__at", kind="stable") if held or new else pd.DataFrame(columns=[*used, "__mask", "__at"])
+        passed = state.getCurrentWatermarkMs()
+        final = rows[rows["__at"] <= passed]
+        masks, times = final["__mask"].astype(int).tolist(), final["__at"].tolist()
+        records = final[used].astype(object).where(final[used].notna(), None).to_dict("records")
+        found, at, free = [], 0, 0
+        while at < len(records):
+            end = next((k for k in range(at, len(records)) if times[k] - times[at] > limit), len(records))
+            names = _match(None, masks[:end], steps, bit, {}, at)
+            open_end = end == len(records) and times[at] + limit > passed
+            if names and not (open_end and at + len(names) == end):
+                matched = [{c: pd.Timestamp(r[c], unit="us") if c in kinds and r[c] is not None else r[c] for c in used} for r in records[at : at + len(names)]]
+                found.append([*keys, *[_measure(m, matched, names) for m, _ in measures.values()]])
+                at += len(names)
+                free = at
+            elif open_end:
+                break  # rows that have not come yet may complete a match that starts here
+            else:
+                at += 1
+                free = at
+        rest = pd.concat([final.iloc[free:], rows[rows["__at"] > passed]])
+        if len(rest):
+            state.update((rest.to_json(orient="split", index=False),))
+            state.setTimeoutTimestamp(max(int(rest["__at"].min()) + limit + 1, passed + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(found, columns=[f.name for f in out.fields])
+
+    return marked.groupBy(*[quote(c) for c in partition_by]).applyInPandasWithState(update, out, T.StructType([T.StructField("rows", T.StringType())]), "append", "EventTimeTimeout")

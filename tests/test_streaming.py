@@ -94,3 +94,18 @@ def test_modes_and_rate_source(spark):
 
     runner.run_with_restarts(Query, 3, 0)
     assert len(tries) == 3
+
+
+def test_patterns_equal_batch(spark, feed, tmp_path):
+    from tarnflow.operators import pattern
+    from tarnflow.streaming.patterns import match_stream
+
+    define = {"A": "v % 5 = 0", "B": "v % 5 <> 0", "C": "v % 6 >= 4"}
+    measures = {"started": ("FIRST(A.ts)", "TIMESTAMP_LTZ"), "low": ("FIRST(A.v)", "DOUBLE"), "high": ("LAST(C.v)", "DOUBLE"), "n": ("COUNT(*)", "BIGINT")}
+    raw = spark.readStream.schema(SCHEMA.to_spark()).option("maxFilesPerTrigger", 1).parquet(feed)
+    found = match_stream(raw, ["k"], SCHEMA.watermark, "A B{1,3} C", define, measures, "20 minutes")
+    finish(runner.start(found, str(tmp_path / "c"), path=str(tmp_path / "o")))
+    until = F.col("started") < F.lit(datetime(2024, 1, 1, 1, 20))
+    got = spark.read.parquet(str(tmp_path / "o")).where(until)
+    want = pattern.match_rows(spark.read.parquet(feed), ["k"], ["ts"], "A B{1,3} C", define, measures).where(until)
+    assert got.count() > 3 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
