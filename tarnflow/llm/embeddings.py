@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ THRESHOLD = 0.9
 COUNTED = 24
 WINDOW = 0.75
 RECALL = 0.99
-#: Half width of an anchor's window, vectors wanted in a cell, anchors at most.
+#: Half width of a single anchor's window (see reach() for more anchors), vectors wanted in a cell, anchors at most.
 REACH = 0.6
 CELL = 2000
 MOST_ANCHORS = 12
@@ -56,6 +57,27 @@ def required_count(cosine: float = THRESHOLD, counted: int = COUNTED, window: fl
     return 0
 
 
+def anchor_loss(width: float, anchors: int, cosine: float) -> float:
+    """Share of the pairs of this cosine that anchors with windows of this half width keep from being met."""
+    deviation = math.sqrt(max(1e-12, 1 - cosine * cosine))
+    at = width + (np.arange(4000) + 0.5) * 0.002
+    density = 2 * np.exp(-at * at / 2) / math.sqrt(2 * math.pi) * 0.002
+    # On one anchor the two lie apart, and the one (or both) beyond the window.
+    one, both = (sum(d * math.erfc((cosine * x + beyond) / (deviation * math.sqrt(2))) / 2 for d, x in zip(density.tolist(), at.tolist(), strict=True)) for beyond in (0.0, width))
+    return 1 - 2 * (1 - one) ** anchors + (1 - 2 * one + both) ** anchors
+
+
+@lru_cache(maxsize=64)
+def reach(anchors: int, cosine: float = THRESHOLD) -> float:
+    """Half width of the anchors' windows, REACH at least: jointly they lose no more than a single one with REACH does at THRESHOLD."""
+    most = anchor_loss(REACH, 1, THRESHOLD)
+    low, high = 0.0, 8.0
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (middle, high) if anchor_loss(middle, anchors, cosine) > most else (low, middle)
+    return max(REACH, high)
+
+
 def directions(dim: int, anchors: int) -> np.ndarray:
     """Seeded directions (dim, anchors + COUNTED); Gaussian, so that the unit vectors' projections have deviation about 1."""
     return np.random.default_rng([SEED, dim]).normal(size=(dim, MOST_ANCHORS + COUNTED))[:, [*range(anchors), *range(MOST_ANCHORS, MOST_ANCHORS + COUNTED)]]
@@ -88,7 +110,7 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return narrow.mapInArrow(run, f"vec_id {kind}, values binary")
 
 
-def _file(classes: DataFrame, anchors: int) -> DataFrame:
+def _file(classes: DataFrame, anchors: int, width: float) -> DataFrame:
     """``cell, query, class_id, copies, values``: a row under the own cell, and one under every cell to look in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +125,7 @@ def _file(classes: DataFrame, anchors: int) -> DataFrame:
                     own = sum(1 << j for j in range(anchors) if at[j] > 0)
                     cells = [own]
                     for j in range(anchors):
-                        if abs(at[j]) < REACH:
+                        if abs(at[j]) < width:
                             cells += [c ^ (1 << j) for c in cells]
                     base = len(vector) << MOST_ANCHORS
                     rows.append((base + own, False, name, copies, values))
@@ -125,7 +147,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, names: np.ndarray) -> np.ndarra
             return label
 
 
-def compare(index: pd.DataFrame, query: pd.DataFrame, anchors: int, threshold: float) -> pd.DataFrame:
+def compare(index: pd.DataFrame, query: pd.DataFrame, anchors: int, width: float, threshold: float) -> pd.DataFrame:
     """Links between two blocks of a cell: ``class_id, links, root`` of every vector that has one."""
     need = required_count(threshold)
     x, q = (np.stack([unit(v) for v in side["values"]]) for side in (index, query))
@@ -148,7 +170,7 @@ def compare(index: pd.DataFrame, query: pd.DataFrame, anchors: int, threshold: f
     i, k = np.concatenate(left), np.concatenate(right)
     # The pair is met again from the other side if that one's window reaches here; then only one side counts it.
     apart = (px[k, :anchors] > 0) != (pq[i, :anchors] > 0)
-    again = (~apart | (np.abs(px[k, :anchors]) < REACH)).all(1)
+    again = (~apart | (np.abs(px[k, :anchors]) < width)).all(1)
     once = ~again | (names_q[i] < names_x[k])
     i, k = i[once], k[once]
     names = np.concatenate([names_q, names_x])
@@ -172,14 +194,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     other columns are ignored; no rows give no rows. ``component_id`` is the smallest id
     reachable by links, ``kept`` whether that is the row's own.
 
-    Pairs are found with the recall of the count and of the anchors, about 0.96 at the
-    threshold itself and more above it.
+    Pairs are found with the recall of the count, at least RECALL at the threshold itself
+    and more above it; anchors take less than 0.001 from it, however many the size calls for.
     """
     stored = materialize(_classes(vectors, id_col, vector_col).withColumn("class_id", F.xxhash64("values")), "embedding-values")
     good = stored.where(F.col("values").isNotNull())
     classes = materialize(good.groupBy("class_id", "values").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first")), "embedding-classes")
     anchors = int(min(MOST_ANCHORS, max(0, math.log2(max(1, classes.count()) / CELL))))
-    filed = materialize(_file(classes.select("class_id", "copies", "values"), anchors), "embedding-cells")
+    width = reach(anchors, threshold)
+    filed = materialize(_file(classes.select("class_id", "copies", "values"), anchors, width), "embedding-cells")
 
     sizes = filed.groupBy("cell").agg(*[F.ceil(F.sum(F.col("query").cast("int") if is_query else 1 - F.col("query").cast("int")) / BLOCK).cast("int").alias(name) for name, is_query in (("q_blocks", True), ("x_blocks", False))])
     sized = filed.join(sizes.where("x_blocks > 0 AND q_blocks > 0"), "cell")
@@ -193,7 +216,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         index, query = rows[~rows["query"]], rows[rows["query"]]
         if not len(index) or not len(query):
             return pd.DataFrame({"class_id": [], "links": [], "root": []}).astype("int64")
-        return compare(index, query, anchors, threshold)
+        return compare(index, query, anchors, width, threshold)
 
     found = materialize(dealt.groupBy("cell", "q", "x").applyInPandas(run, "class_id long, links long, root long"), "embedding-links")
     roots = connected_components(found.where("class_id <> root").select("class_id", "root"), "class_id", "root")

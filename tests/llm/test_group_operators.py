@@ -135,6 +135,22 @@ def test_anchors_lose_few_pairs(monkeypatch):
     assert (met & counted).mean() > 0.93
 
 
+def test_recall_does_not_fall_with_more_anchors(spark, monkeypatch):
+    """Pairs just above the threshold against brute force, through all anchors that the largest tables have."""
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(600, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(1)[:, None] * a
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    vectors = np.concatenate([a, 0.901 * a + np.sqrt(1 - 0.901**2) * side])
+    links = int(((vectors @ vectors.T) >= 0.9).sum()) - len(vectors)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embeddings, "CELL", len(vectors) / 2**embeddings.MOST_ANCHORS)
+    found = sum(r.n_links for r in embeddings.near_duplicates(df).collect())
+    assert 0.985 * links <= found <= links
+
+
 # Mixing
 
 
