@@ -28,7 +28,7 @@ from tarnflow.llm.common import table
 SAMPLE_PAGES = 2000
 CONTENT_AT = 0.5
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<raw>script|style|template|noscript|textarea|title|svg|iframe|object|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(?P<raw>script|style|template|noscript|textarea|title|svg|iframe|object|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
@@ -58,20 +58,40 @@ LIMIT = 4.0
 
 
 class Page:
-    """Block elements in document order, and text blocks with the element that holds them."""
+    """Block elements in document order, and text blocks with the element that holds them.
+
+    Text outside any block element is a paragraph of an implied body.
+    """
 
     def __init__(self, source: str) -> None:
         self.tags, self.parents, self.names = ["#root"], [-1], [()]
         self.lengths, self.linked = [0], [0]
         self.blocks: list[tuple[int, str]] = []
         self._text: list[str] = []
+        self._body = 0
         self._read(source)
 
+    def _open(self, tag: str, parent: int, names: tuple[str, ...] = ()) -> int:
+        self.tags.append(tag)
+        self.parents.append(parent)
+        self.names.append(names)
+        self.lengths.append(0)
+        self.linked.append(0)
+        return len(self.tags) - 1
+
+    def _paragraph(self) -> int:
+        self._body = self._body or self._open("body", 0)
+        return self._open("p", self._body)
+
     def _flush(self, node: int) -> None:
         if self._text:
             block = " ".join(html_text.unescape("".join(self._text)).split())
             self._text.clear()
             if block:
+                if not node:
+                    node = self._paragraph()
+                    for sizes in (self.lengths, self.linked):
+                        sizes[node], sizes[0] = sizes[0], 0
                 self.blocks.append((node, block))
 
     def _read(self, source: str) -> None:
@@ -118,12 +138,7 @@ class Page:
             if tag in VOID:
                 continue
             names = tuple(dict.fromkeys(w for m in _NAMES.finditer(found["attrs"]) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()))) if found["attrs"] else ()
-            self.tags.append(tag)
-            self.parents.append(stack[-1])
-            self.names.append(names)
-            self.lengths.append(0)
-            self.linked.append(0)
-            stack.append(len(self.tags) - 1)
+            stack.append(self._open(tag, stack[-1], names))
         self._flush(stack[-1])
 
     def features(self) -> list[list[str]]:
@@ -201,7 +216,7 @@ def main_text(source: str, model: TreeModel) -> str:
     """Blocks of content, in page order."""
     page = Page(source)
     share = model.marginals(page)
-    return "\n\n".join(text for node, text in page.blocks if share[node] >= CONTENT_AT and node)
+    return "\n\n".join(text for node, text in page.blocks if share[node] >= CONTENT_AT)
 
 
 def _count(pages: list[str]) -> Counter:

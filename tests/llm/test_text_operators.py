@@ -271,6 +271,18 @@ def test_main_text(spark, sf_dir):
     assert html_main.extract(none, html_main.train(none)).count() == 0
 
 
+def test_main_text_without_blocks_and_after_closed_svg(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    trained = html_main.train(pages)
+    assert html_main.main_text("Some <b>text</b><br>more", trained) == "Some text more"
+    assert {"one", "three"} <= set(html_main.main_text("<!doctype html>\n one <p>two</p> three\n", trained).split("\n\n"))
+    icon = "<svg class='a>b' viewBox=\"0 0\" />"
+    for source in (PAGE, *[r.html for r in pages.limit(20).collect()]):
+        wanted = html_main.main_text(source, trained)
+        assert html_main.main_text(source.replace("<article>", f"<article>{icon}"), trained) == wanted
+        assert html_main.main_text(source.replace("<article>", "<article><svg><path/>no</svg>"), trained) == wanted
+
+
 def test_main_text_of_all_pages(spark, sf_dir):
     """The article of every page, against its own marks."""
     import html
