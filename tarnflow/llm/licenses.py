@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -102,6 +103,10 @@ def evaluate(postfix: list[str], allowed: frozenset[str] = PERMISSIVE) -> tuple[
     return stack[-1]
 
 
+#: Shape of a licence or exception identifier in lower case, also of one that no list knows.
+_IDENTIFIER = re.compile(r"(?:documentref-[a-z0-9.-]+:)?[a-z0-9][a-z0-9.-]*\+?")
+
+
 def read_expression(text: str, start: int) -> list[str]:
     """Tokens of the expression on the rest of the line, up to the first that cannot belong to it."""
     line_end = text.find("\n", start)
@@ -113,7 +118,7 @@ def read_expression(text: str, start: int) -> list[str]:
         token = token if token in ("(", ")") else token.rstrip(".")
         if token == ")" and tokens.count("(") <= tokens.count(")"):
             break
-        known = token in PRECEDENCE or token in ("(", ")") or (operand_next and bool(token) and (label_of(token) or tokens[-1:] == ["with"]))
+        known = token in PRECEDENCE or token in ("(", ")") or (operand_next and bool(token) and (label_of(token) or tokens[-1:] == ["with"] or _IDENTIFIER.fullmatch(token)))
         if not known or (token in PRECEDENCE and operand_next):
             break
         tokens.append(token)

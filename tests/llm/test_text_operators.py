@@ -96,6 +96,22 @@ def test_license_expressions(expression, labels, allowed):
     assert set(found[5].split(",")) == labels
 
 
+@pytest.mark.parametrize(
+    "expression, labels, allowed",
+    [
+        ("Artistic-2.0 OR GPL-2.0", {"gpl"}, False),
+        ("CDDL-1.0 OR MIT", {"mit"}, True),
+        ("MIT AND Foo", {"mit"}, False),
+        ("(LicenseRef-own AND MIT) OR DocumentRef-x:LicenseRef-y */", {"mit"}, False),
+        ("MIT -->", {"mit"}, True),
+    ],
+)
+def test_license_expressions_with_unknown_operands(expression, labels, allowed):
+    assert licenses.evaluate(licenses.to_postfix(licenses.read_expression(expression, 0))) == (labels, allowed)
+    found = licenses.scan(f"# SPDX-License-Identifier: {expression}\nfoo", licenses.automaton(()))
+    assert set(found[5].split(",")) == labels and found[6] == pytest.approx(0.99 if allowed else 0.95)
+
+
 def test_ill_formed_expressions():
     assert licenses.to_postfix(["mit", "or"]) is None and licenses.to_postfix(["(", "mit"]) is None and licenses.to_postfix(["mit", "mit"]) is None and licenses.to_postfix([]) is None
 
