@@ -26,15 +26,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, the one with the smallest id.
 
-    Rows without an id cannot be told apart and stay.
+    Rows that share an id are told apart by a digest of their columns. Rows without an id
+    stay.
     """
-    groups = jaccard.jaccard_components(docs)
-    ids = materialize(groups.select("doc_id", "component_id"), "pipeline-groups")
-    gone = materialize(ids.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = materialize(ids.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "pipeline-twice")
+    digest = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    rows = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", digest.alias("digest"))))
+    groups = jaccard.jaccard_components(rows, "_row")
+    ids = materialize(groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_least")), "pipeline-groups")
+    gone = materialize(ids.where("_row <> _least").select("_row").distinct(), "pipeline-gone")
+    kept = rows.join(gone, "_row", "left_anti")
+    twice = materialize(ids.where("_row = _least").groupBy("_row").agg(F.count("*").alias("n")).where("n > 1").select("_row"), "pipeline-twice")
     if not twice.isEmpty():
-        kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        kept = kept.join(twice, "_row", "left_anti").unionByName(kept.join(twice, "_row", "left_semi").dropDuplicates(["_row"]))
     return kept.select(*docs.columns)
 
 

@@ -222,6 +222,20 @@ def test_stages_against_plain_versions(spark, sf_dir):
         df.unpersist()
 
 
+def test_rows_that_share_an_id(spark, sf_dir):
+    """Only copies go, and the row that stays does not depend on the order of rows."""
+    rnd = random.Random(9)
+    one, two, three = (" ".join(f"w{rnd.randrange(500)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, one, "en", "a", 9), (5, one.upper(), "en", "a", 9), (5, two, "en", "a", 9), (7, two, "en", "b", 9), (7, three, "en", "a", 9), (7, three, "en", "a", 9), (8, None, "en", "a", 9), (8, None, "en", "b", 9), (None, one, "en", "a", 9)]
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard"]
+    wanted = sorted(map(repr, [rows[0], rows[2], rows[4], rows[6], rows[7], rows[8]]))
+    for some in (rows, rows[::-1]):
+        found = stage(spark, spark.createDataFrame(some, schema), sf_dir)
+        assert found.columns == schema.names
+        assert sorted(repr(tuple(r)) for r in found.collect()) == wanted
+
+
 def test_pipeline_runs(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 100
     assert bpe_tree.LEAF_CHARS > 0 and langid.SAMPLE_DOCUMENTS > 0
