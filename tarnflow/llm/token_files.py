@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import materialize, table
+from tarnflow.llm.common import map_batches, materialize, table
 
 #: Frequencies sum to 2**PRECISION. A vocabulary must be smaller than that.
 PRECISION = 20
@@ -158,7 +157,9 @@ REMEMBERED = 1_200_000
 #: and the word characters after it ("'s" may not be cut).
 PIECE = re.compile(r"[ \n\t\r]*(?:[^ \n\t\r!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+[^ \n\t\r!-/:-@\[-`{-~]*)|[ \n\t\r]+")
 #: Characters with which the cuts would not be safe: white space beyond ASCII, controls, symbols beyond ASCII.
-ODD = re.compile(r"[^\S \n\t\r]|[^\w\x20-\x7e\n\t\r]")
+ODD = re.compile(r"[^\w\x20-\x7e\n\t\r]")
+#: Stands between new pieces that are encoded together; it is odd, so no piece holds it.
+SEPARATOR = "\x00"
 
 
 @lru_cache(maxsize=2)
@@ -170,36 +171,57 @@ def load_tokenizer(path: str):
     return found
 
 
+def load_splitter(path: str):
+    """The same tokenizer with SEPARATOR as a token of its own, and the id of that."""
+    from tokenizers import AddedToken, Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.add_special_tokens([AddedToken(SEPARATOR, special=True, normalized=False)])
+    return found, found.token_to_id(SEPARATOR)
+
+
 class WordEncoder:
     """Whole texts to ids (as little-endian bytes), remembering the ids of words.
 
     No alternative of the pre-tokenizer's pattern joins a non-space with a space after
     it, or a letter or digit with punctuation after it, and none looks behind. So a
     text falls into pieces, and the ids of a text are the ids of these in a row. Only
-    pieces not met before go through the tokenizer, in one batch. Texts with characters
-    for which this is not certain go through it whole.
+    pieces not met before go through the tokenizer, all of a batch in one call with a
+    separator between them that has an id of its own. Texts with characters for which
+    this is not certain go through it whole.
     """
 
     def __init__(self, path: str, dtype: str = "<u2") -> None:
         self.tokenizer = load_tokenizer(path)
-        self.code = {"<u2": "H", "<u4": "I"}[dtype]
-        self.dtype = dtype
+        self.splitter, self.between = load_splitter(path)
+        self.dtype = np.dtype(dtype)
         self.known: dict[str, bytes] = {}
 
+    def _encode_new(self, pieces: list[str]) -> Iterator[bytes]:
+        ids = np.array(self.splitter.encode_batch_fast([SEPARATOR.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        packed, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+        begin = 0
+        for end in [*np.flatnonzero(ids == self.between).tolist(), len(ids)]:
+            yield packed[size * begin : size * end]
+            begin = end + 1
+
+    def _encode_whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        split = [[t] if ODD.search(t) else PIECE.findall(t) for t in texts]
+        odd = [bool(ODD.search(t)) for t in texts]
+        split = [[] if whole else PIECE.findall(t) for whole, t in zip(odd, texts, strict=True)]
         found = [list(map(known.get, pieces)) for pieces in split]
         new = list({p for pieces, ids in zip(split, found, strict=True) if None in ids for p, i in zip(pieces, ids, strict=True) if i is None})
         fresh: dict[str, bytes] = {}
         if new:
-            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            fresh = {piece: array(self.code, e.ids).tobytes() for piece, e in zip(new, encoded, strict=True)}
+            fresh = dict(zip(new, self._encode_new(new), strict=True))
             if len(known) + len(fresh) <= REMEMBERED:  # once full, what came first are mostly the frequent words
                 known.update(fresh)
         return [
-            b"".join(ids if None not in ids else [fresh[p] if i is None else i for p, i in zip(pieces, ids, strict=True)])
-            for pieces, ids in zip(split, found, strict=True)
+            self._encode_whole(text) if whole else b"".join(ids if None not in ids else [fresh[p] if i is None else i for p, i in zip(pieces, ids, strict=True)])
+            for whole, text, pieces, ids in zip(odd, texts, split, found, strict=True)
         ]
 
 
@@ -213,11 +235,12 @@ def tokenize_sorted(documents: DataFrame, tokenizer_path: str, end_id: int, id_c
     """``part, seq, doc_id, ids`` with ids as bytes, documents in ascending order over parts.
 
     Range partitioning is on the raw rows: its sample reads ids of documents, no tokens.
+    There are as many ranges as the input has splits, so their size does not grow with it.
     """
     narrow = documents.select(documents[id_col].alias("doc_id"), F.coalesce(documents[text_col], F.lit("")).alias("text"))
     kind = dict(narrow.dtypes)["doc_id"]
     width = 2 if max(load_tokenizer(tokenizer_path).get_vocab_size(), end_id) <= 1 << 16 else 4
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), narrow.rdd.getNumPartitions())
     ordered = narrow.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +263,7 @@ def tokenize_sorted(documents: DataFrame, tokenizer_path: str, end_id: int, id_c
                 seq += n
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "seq", "doc_id", "width", "ids"])
 
-    return ordered.mapInArrow(run, f"part int, seq long, doc_id {kind}, width int, ids binary")
+    return map_batches(ordered, run, f"part int, seq long, doc_id {kind}, width int, ids binary")
 
 
 def _ids(width: int, packed: bytes) -> np.ndarray:
@@ -261,7 +284,7 @@ def count_ids(tokens: DataFrame) -> DataFrame:
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["id", "n"])
 
-    return tokens.select("width", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return map_batches(tokens.select("width", "ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_files(
@@ -314,7 +337,7 @@ def write_files(
             yield close()
 
     schema = f"part int, block long, doc_ids array<{kind}>, n_ids long, payload binary"
-    return materialize(tokens.mapInArrow(run, schema), "token-files", "none"), freqs
+    return materialize(map_batches(tokens, run, schema), "token-files", "none"), freqs
 
 
 def read_files(files: DataFrame, freqs: np.ndarray) -> DataFrame:
@@ -344,8 +367,7 @@ def read_files(files: DataFrame, freqs: np.ndarray) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
-    decoded = files.select("part", "block", "doc_ids", "payload").mapInArrow(
-        run, f"part int, block long, doc_id {kind}, inside long, n_tokens long, ids_crc32 long"
+    decoded = map_batches(files.select("part", "block", "doc_ids", "payload"), run, f"part int, block long, doc_id {kind}, inside long, n_tokens long, ids_crc32 long"
     )
     sizes = files.select("part", "block", "n_ids")
     before_block = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
