@@ -29,6 +29,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         moved = not done.where("moved").isEmpty()
         discard(step, table)
         labels, table = done.select("node", "root"), done
+        labels.written_to = done.written_to
         if not moved:
             discard(edges)
             return labels

@@ -8,11 +8,14 @@ lists. The others are seeded hashes, tested on these before any set is verified.
 
 Posting lists are keyed by token and size class, so documents of incomparable sizes never
 meet. In a list with several classes all are first compared with one hub. Those that
-link to it are in one component, whatever their pairs. Those that are akin to it but do
-not link can link only with sets that differ from the hub in the same tokens; a second
-prefix filter, over the differences from the hub, finds these. Only what has nothing to do
-with the hub meets the rest of the list. A large group of near copies thus costs one comparison
-per member instead of all its pairs, and no link between components can be lost.
+link to it are in one component, whatever their pairs. Where many sets are akin to a hub,
+those that do not link to it are not paired with the rest of the list: the majority of
+the sets akin to the hub gives a centre, and what each differs from the centre in is
+small. Two sets of which one lies further out than the innermost one can reach must
+share such differences, and a second prefix filter over these, rare ones first, finds the
+few pairs that do. All other sets of a list meet only sets that are not yet in their
+component. A large group of near copies thus costs one comparison per member
+instead of all its pairs, and no link between components can be lost.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import discard, materialize, table
+from tarnflow.llm.common import discard, map_batches, materialize, table
 from tarnflow.llm.components import connected_components
 
 WORDS = 3
@@ -40,8 +43,11 @@ CHUNKS = 64
 #: Seeds of the token orders; the first breaks ties of frequency.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Bytes of text hashed in one go, and bits of the filter on texts that are read again.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18
 FILTER_BITS = 1 << 23
+#: Tables that one task adds up, and members from which a group is large. Neither changes the result.
+FAN_IN = 64
+LARGE = 32
 _BASE = 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -138,7 +144,10 @@ def prefix(tokens: np.ndarray, seed: int, percent: int = PERCENT) -> np.ndarray:
 
 
 def count_words(documents: DataFrame, text_col: str) -> np.ndarray:
-    """How often words occur, in COUNTERS counters: summed in tasks, then in two rounds of chunks."""
+    """How often words occur, in COUNTERS counters: summed in tasks, then up a tree of chunks.
+
+    One call adds at most FAN_IN tables of a chunk, however many tasks there are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -148,18 +157,22 @@ def count_words(documents: DataFrame, text_col: str) -> np.ndarray:
             for text in batch.column("text"):
                 np.add.at(counts, _counter_of(word_hashes((text.as_py() or "").encode("utf-8"))), 1)
         blobs = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, CHUNKS)]
-        task = TaskContext.get().partitionId() % 32
+        task = TaskContext.get().partitionId() // FAN_IN
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "part", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.int64) for c in rows["counts"])
         held = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
-        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "part": [0], "counts": [zlib.compress(held.tobytes(), 1)]})
+        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "part": rows["part"].iloc[:1] // FAN_IN, "counts": [zlib.compress(held.tobytes(), 1)]})
 
     schema = "chunk int, part int, counts binary"
-    partial = documents.select(documents[text_col].alias("text")).mapInArrow(run, schema).groupBy("chunk", "part").applyInPandas(add, schema)
+    texts = documents.select(documents[text_col].alias("text"))
+    partial, tables = map_batches(texts, run, schema), texts.rdd.getNumPartitions()
+    while tables > 0:
+        partial = partial.groupBy("chunk", "part").applyInPandas(add, schema)
+        tables = (tables - 1) // FAN_IN
     counters = np.zeros(COUNTERS, np.uint32)
-    for row in partial.groupBy("chunk").applyInPandas(add, schema).collect():
+    for row in partial.collect():
         np.split(counters, CHUNKS)[row["chunk"]][:] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
     return counters
 
@@ -192,7 +205,7 @@ def profiles(documents: DataFrame, id_col: str, text_col: str, words: int, perce
             columns = [batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_id", "n", "size", "tokens"])
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, set_id long, n long, size int, tokens array<long>")
+    return map_batches(narrow, run, f"doc_id {kind}, set_id long, n long, size int, tokens array<long>")
 
 
 def _filter_of(wanted: DataFrame) -> np.ndarray:
@@ -230,14 +243,15 @@ def wanted_sets(documents: DataFrame, wanted: DataFrame, text_col: str, words: i
             types = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["set_id", "n", "all", "second", "third"])
 
-    found = documents.select(documents[text_col].alias("text")).mapInArrow(run, "set_id long, n long, all array<long>, second array<long>, third array<long>")
+    found = map_batches(documents.select(documents[text_col].alias("text")), run, "set_id long, n long, all array<long>, second array<long>, third array<long>")
     return materialize(found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "jaccard-sets")
 
 
-def filtered(pairs: DataFrame, sets: DataFrame, percent: int | None) -> DataFrame:
+def filtered(pairs: DataFrame, sets: DataFrame, percent: int | None, made: list[DataFrame]) -> DataFrame:
     """Pairs that pass the filters of size and of the other orders, with both sets: ``a, b, n_a, n_b, all_a, all_b``.
 
     Without ``percent`` the size does not matter, and one of the other orders is enough.
+    ``made`` gets the table that the result reads.
     """
 
     def side(name: str, *columns: str) -> DataFrame:
@@ -247,58 +261,108 @@ def filtered(pairs: DataFrame, sets: DataFrame, percent: int | None) -> DataFram
     similar = second | third if percent is None else (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & second & third
     near = pairs.join(side("a", "n", "second", "third"), "a").join(side("b", "n", "second", "third"), "b").where(similar).select("a", "b", "n_a", "n_b")
     near = materialize(near, "jaccard-candidates")
+    made.append(near)
     return near.join(side("a", "all"), "a").join(side("b", "all"), "b")
 
 
-def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int, made: list[DataFrame]) -> DataFrame:
     """``a, b`` of the pairs that link, by their exact intersection."""
-    counted = filtered(pairs, sets, percent).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("all_a", "all_b")).alias("inter"))
+    counted = filtered(pairs, sets, percent, made).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("all_a", "all_b")).alias("inter"))
     return counted.where(100 * F.col("inter") >= percent * (F.col("n_a") + F.col("n_b") - F.col("inter"))).select("a", "b")
 
 
-def compare_with_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``set_id, hub, n, link, more, less`` of the sets that are akin to their hub.
+def compare_with_hubs(pairs: DataFrame, sets: DataFrame, percent: int, made: list[DataFrame]) -> DataFrame:
+    """``set_id, hub, n, n_hub, link, more, less`` of the sets that are akin to their hub.
 
     ``more`` are the tokens that the set has beyond the hub's, ``less`` those it lacks. Sets
     with a similarity to the hub below 0.2, or found by none of the other orders, are not akin.
     """
-    both = filtered(pairs, sets, None).select(
-        F.col("a").alias("set_id"), F.col("b").alias("hub"), F.col("n_a").alias("n"), "n_b", F.array_except("all_a", "all_b").alias("more"), F.array_except("all_b", "all_a").alias("less")
+    both = filtered(pairs, sets, None, made).select(
+        F.col("a").alias("set_id"), F.col("b").alias("hub"), F.col("n_a").alias("n"), F.col("n_b").alias("n_hub"), F.array_except("all_a", "all_b").alias("more"), F.array_except("all_b", "all_a").alias("less")
     )
-    inter, union = F.col("n") - F.size("more"), F.col("n_b") + F.size("more")
-    return both.where(5 * inter >= union).withColumn("link", 100 * inter >= percent * union).drop("n_b")
+    inter, union = F.col("n") - F.size("more"), F.col("n_hub") + F.size("more")
+    return both.where(5 * inter >= union).withColumn("link", 100 * inter >= percent * union)
 
 
-def pairs_by_difference(compared: DataFrame, percent: int) -> DataFrame:
-    """Candidates ``a, b`` among the sets akin to one hub, at least one of them not linked to it.
+def centred(compared: DataFrame) -> DataFrame:
+    """``hub, set_id, n, tokens`` of the members of large hubs: what they differ from their centre in.
 
-    Two sets whose differences from the hub have sizes ``g`` and ``h`` and ``o`` tokens in common are
-    ``g + h - 2 o`` tokens apart; similar ones at most ``(100 - percent) / (100 + percent)`` of their sizes.
-    So their differences share one of their first tokens under any order, early enough to leave
-    room for the others. The order puts what many sets of the hub differ in last.
+    The centre has every token that most members have. Members are the sets akin to the hub
+    and the hub. ``tokens`` are the tokens that only one of member and centre has: those in
+    which it differs from the hub, but for what most members differ in, and what of that it
+    does not differ in.
     """
-    share = (100 - percent) / (100 + percent)
-    busy = compared.groupBy("hub").agg(F.count("*").alias("members"), F.max(~F.col("link")).alias("open")).where("members > 1 AND open").select("hub", "members")
-    busy = materialize(busy, "jaccard-busy")
-    # The last bit says whether a token is there or missing.
-    coded = compared.join(busy.select("hub"), "hub", "left_semi").select(
-        "hub", "set_id", "n", "link", F.transform("more", lambda t: t.bitwiseAND(F.lit(-2))).alias("more"), F.transform("less", lambda t: t.bitwiseOR(F.lit(1))).alias("less")
-    )
-    seen = coded.select("hub", F.explode(F.concat("more", "less")).alias("token")).groupBy("hub", "token").agg(F.count("*").alias("times")).where("times > 2")
-    # At most ten times the mean size of a difference.
-    popular = seen.join(busy, "hub").where(10 * F.col("times") > F.col("members")).groupBy("hub").agg(F.collect_set("token").alias("popular"))
-    ordered = coded.join(popular, "hub", "left").withColumn("popular", F.coalesce("popular", F.array().cast("array<long>")))
-    tokens = F.concat(F.array_sort(F.array_except("more", "popular")), F.array_sort(F.array_except("less", "popular")), F.array_sort(F.array_intersect(F.concat("more", "less"), F.col("popular"))))
-    ordered = ordered.select("hub", "set_id", "n", "link", tokens.alias("tokens"), F.size(tokens).alias("gap"))
-    common = F.when(F.col("link"), F.floor(F.col("gap") * (1 - share) / 2) - 2).otherwise(F.col("gap") - F.floor(F.col("n") * (100 - percent) / percent))
-    kept = F.greatest(F.lit(1), F.col("gap") - F.greatest(F.lit(1), common) + 1).cast("int")
-    first = ordered.select("hub", "set_id", "n", "link", "gap", F.posexplode(F.slice("tokens", F.lit(1), kept)).alias("pos", "token"))
-    keyed = materialize(first.select(F.xxhash64("hub", "token").alias("key"), "set_id", "n", "link", "gap", "pos"), "jaccard-differences")
-    x, y = keyed.where("not link").alias("x"), keyed.alias("y")
-    room = 2 * F.least(F.col("x.gap") - F.col("x.pos"), F.col("y.gap") - F.col("y.pos"))
-    close = room >= F.col("x.gap") + F.col("y.gap") - F.floor(share * (F.col("x.n") + F.col("y.n")) + 1e-9)
-    once = F.col("y.link") | (F.col("x.set_id") < F.col("y.set_id"))
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set_id") != F.col("y.set_id")) & once & close).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
+    sizes = compared.groupBy("hub").agg(F.count("*").alias("members"), F.max(~F.col("link")).alias("open"), F.max("n_hub").alias("n_hub"))
+    large = materialize(sizes.where((F.col("members") > LARGE) & F.col("open")).select("hub", "members", "n_hub"), "jaccard-large")
+    members = compared.join(large.select("hub", "members"), "hub").select("hub", "set_id", "n", "members", F.concat("more", "less").alias("differs"))
+    members = materialize(members, "jaccard-members")
+    counts = members.select("hub", "members", F.explode("differs").alias("token")).groupBy("hub", "token").agg(F.count("*").alias("times"), F.max("members").alias("members"))
+    # Twice the mean size of a difference at most.
+    shared = counts.where(2 * F.col("times") > F.col("members") + 1).groupBy("hub").agg(F.collect_list("token").alias("shared"))
+    shared = materialize(shared, "jaccard-shared")
+    hubs = large.select("hub", F.col("hub").alias("set_id"), F.col("n_hub").alias("n"), F.array().cast("array<bigint>").alias("differs"))
+    both = members.drop("members").unionByName(hubs).join(shared, "hub", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<bigint>")))
+    tokens = F.concat(F.array_except("differs", "shared"), F.array_except("shared", "differs"))
+    found = materialize(both.select("hub", "set_id", "n", tokens.alias("tokens")), "jaccard-centred")
+    discard(large, members, shared)
+    return found
+
+
+def pairs_by_difference(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links ``a, b`` that are certain, and ``key, set_id, n, gap, pos, out`` by which others are found.
+
+    Let ``gap`` be the distance of a member from the centre, in tokens. Two members whose gaps
+    add up to at most ``(100 - percent) / (100 + percent)`` of their joint size are similar for
+    certain, so ``reach = (100 - percent) n - (100 + percent) gap`` tells how much room a
+    member leaves, and the one with the largest reach links to all that link to any
+    member in this way. The others are ``out``. One of them and any member can be similar only
+    if their differences from the centre share at least
+    ``(gap + gap' - (100 - percent) / (100 + percent) (n + n')) / 2`` tokens, which is above 0.
+    So they share one of their first tokens under any order, early enough to leave room for
+    the rest. The order is by frequency in the group; tokens that one member has alone come
+    first and need no key.
+    """
+    less, more = 100 - percent, 100 + percent
+    gaps = members.select("hub", "set_id", "n", F.size("tokens").cast("long").alias("gap")).withColumn("reach", less * F.col("n") - more * F.col("gap"))
+    inmost = gaps.groupBy("hub").agg(F.max(F.struct("reach", "set_id")).alias("best")).select("hub", F.col("best.reach").alias("most"), F.col("best.set_id").alias("inmost"))
+    placed = gaps.join(inmost, "hub").withColumn("out", F.col("reach") + F.col("most") < 0)
+    placed = materialize(placed, "jaccard-placed")
+    sure = placed.where("not out AND set_id <> inmost").select(F.col("set_id").alias("a"), F.col("inmost").alias("b"))
+    # At least so many tokens are common to the member and any that is out (any other, if it is out).
+    own, other = F.col("most") + F.col("reach"), F.col("most") - F.col("reach")
+    common = F.when(F.col("out"), F.greatest(F.lit(1), F.ceil(-own / (2 * more)))).otherwise(F.floor(other / (2 * more)) + 1)
+
+    tokens = members.select("hub", "set_id", F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("hub", "token").agg(F.count("*").alias("times")).where("times > 1")
+    ranked = tokens.join(counts, ["hub", "token"]).groupBy("hub", "set_id").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("ranked"))
+    first = placed.select("hub", "set_id", "n", "gap", "out", common.alias("common")).join(ranked, ["hub", "set_id"])
+    alone = F.col("gap") - F.size("ranked")
+    first = first.select("hub", "set_id", "n", "gap", "out", "common", alone.alias("alone"), F.posexplode("ranked").alias("nth", "token"))
+    first = first.withColumn("pos", F.col("alone") + F.col("nth")).where(F.col("pos") < F.col("gap") - F.col("common") + 1)
+    return sure, first.select(F.xxhash64("hub", "token.token").alias("key"), "set_id", "n", "gap", "pos", "out")
+
+
+def heads(keyed: DataFrame) -> DataFrame:
+    """``key, head`` of the keys that more than LARGE sets share, among them some that are out."""
+    return keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("set_id").alias("head"), F.max("out").alias("open")).where((F.col("size") > LARGE) & F.col("open")).select("key", "head")
+
+
+def pairs_of(keyed: DataFrame, near: Column, labels: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` under one key that are not in one component yet, at least one of them out.
+
+    ``near`` is a condition on the rows ``x`` and ``y``. Of two sets in different components one at
+    least is outside the component that has most sets of the key; only such sets meet the others.
+    """
+    rows = keyed.join(labels, keyed["set_id"] == labels["node"], "left").withColumn("root", F.coalesce("root", "set_id")).drop("node")
+    same, key = Window.partitionBy("key", "root"), Window.partitionBy("key")
+    rows = rows.withColumn("size", F.count("*").over(same)).withColumn("any_out", F.max("out").over(same))
+    rows = rows.withColumn("largest", F.max(F.struct("size", "root", "any_out")).over(key))
+    rows = rows.withColumn("asks", (F.col("root") != F.col("largest.root")) & (F.col("out") | F.col("largest.any_out")))
+    rows = rows.withColumn("any_asks", F.max("asks").over(key)).where("any_asks").drop("largest", "size", "any_out", "any_asks")
+    x, y = rows.where("asks").alias("x"), rows.alias("y")
+    once = ~F.col("y.asks") | (F.col("x.set_id") < F.col("y.set_id"))
+    apart = (F.col("x.root") != F.col("y.root")) & (F.col("x.out") | F.col("y.out"))
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & apart & once & near).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
 
 
 def jaccard_components(
@@ -317,36 +381,53 @@ def jaccard_components(
     profile = materialize(profiles(documents, id_col, text_col, words, percent, counters), "jaccard-profiles")
     classes = profile.where("n > 0").select("set_id", "n", "size", "tokens").dropDuplicates(["set_id"])
     tokens = classes.select("set_id", "n", "size", F.posexplode("tokens").alias("pos", "token"))
-    lists = tokens.select("set_id", "n", "pos", F.explode(F.array(F.xxhash64("token", "size"), F.xxhash64("token", F.col("size") - 1))).alias("list"))
+    # Size and place in one number, as this is the largest thing that is dealt out.
+    place = F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long"))
+    lists = tokens.select("set_id", place.alias("place"), F.explode(F.array(F.xxhash64("token", "size"), F.xxhash64("token", F.col("size") - 1))).alias("list"))
     whole = Window.partitionBy("list")
     shared = lists.withColumn("hub", F.min("set_id").over(whole)).withColumn("last", F.max("set_id").over(whole)).where("hub < last")
-    shared = materialize(shared.select("list", "set_id", "hub", "n", "pos"), "jaccard-lists")
+    n, pos = F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos")
+    shared = materialize(shared.select("list", "set_id", "hub", n, pos), "jaccard-lists")
 
+    made: list[DataFrame] = []
     sets = wanted_sets(documents, shared.select("set_id").distinct(), text_col, words, percent)
     to_hub = shared.where("set_id <> hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct()
-    compared = materialize(compare_with_hubs(to_hub, sets, percent), "jaccard-hubs")
-
-    by_hub = pairs_by_difference(compared, percent)
-
-    # Sets that have nothing to do with the hub, with all others of the list.
-    others = shared.where("set_id <> hub").join(compared.select("set_id", "hub", F.lit(True).alias("akin")), ["set_id", "hub"], "left")
-    placed = materialize(others.select("list", "set_id", "n", "pos", F.coalesce("akin", F.lit(False)).alias("akin")), "jaccard-placed")
-    u, v = placed.where("not akin").alias("u"), placed.alias("v")
-    fits = F.least(F.col("u.n") - F.col("u.pos"), F.col("v.n") - F.col("v.pos")) >= F.ceil(percent / (100 + percent) * (F.col("u.n") + F.col("v.n")) - 1e-9)
-    once = F.col("v.akin") | (F.col("u.set_id") < F.col("v.set_id"))
-    in_list = u.join(v, (F.col("u.list") == F.col("v.list")) & (F.col("u.set_id") != F.col("v.set_id")) & once & fits).select(F.col("u.set_id").alias("a"), F.col("v.set_id").alias("b"))
-
-    more = by_hub.union(in_list).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    linked = compared.where("link").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).union(linked_pairs(more, sets, percent))
-    roots = connected_components(linked)
+    compared = materialize(compare_with_hubs(to_hub, sets, percent, made), "jaccard-hubs")
+    members = centred(compared)
+    sure, keyed = pairs_by_difference(members, percent)
+    keyed = materialize(keyed, "jaccard-differences")
+    links = materialize(compared.where("link").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).union(sure), "jaccard-links")
+    # Many that are far out may be near each other: first all of a key with one of them.
+    some = materialize(heads(keyed), "jaccard-heads")
+    star = keyed.join(some, "key").where("set_id <> head").select(F.least("set_id", "head").alias("a"), F.greatest("set_id", "head").alias("b")).distinct()
+    if not some.isEmpty():
+        made.append(links)
+        links = materialize(links.union(linked_pairs(star, sets, percent, made)), "jaccard-links")
+    labels = connected_components(links)
+
+    less, more = 100 - percent, 100 + percent
+    room = 2 * F.least(F.col("x.gap") - F.col("x.pos"), F.col("y.gap") - F.col("y.pos"))
+    close = more * (F.col("x.gap") + F.col("y.gap") - room) <= less * (F.col("x.n") + F.col("y.n"))
+    by_difference = pairs_of(keyed, close, labels)
+
+    # Sets that are neither linked to the hub nor members of its group, with all others of the list.
+    done = compared.where("link").select("set_id", "hub").union(members.select("set_id", "hub")).distinct().withColumn("done", F.lit(True))
+    others = shared.where("set_id <> hub").join(done, ["set_id", "hub"], "left")
+    others = materialize(others.select(F.col("list").alias("key"), "set_id", "n", "pos", F.col("done").isNull().alias("out")), "jaccard-others")
+    fits = more * F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= percent * (F.col("x.n") + F.col("y.n"))
+    in_list = pairs_of(others, fits, labels)
+
+    rest = by_difference.union(in_list).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    roots = connected_components(links.union(linked_pairs(rest, sets, percent, made)))
     # All that follows reads roots and profiles only.
-    discard(shared, sets, compared, placed)
+    discard(shared, sets, compared, members, keyed, some, links, labels, others, *made)
 
     names = profile.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     rooted = names.join(roots, names["set_id"] == roots["node"], "left").select("set_id", "first", F.coalesce("root", "set_id").alias("root"))
     rooted = materialize(rooted, "jaccard-roots")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     component = materialize(rooted.join(least, "root").select("set_id", "component_id"), "jaccard-components")
+    discard(roots, rooted)
     return profile.join(component, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
