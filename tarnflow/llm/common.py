@@ -4,8 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+#: Bytes of a batch that goes to a Python worker; a longer row goes alone.
+BATCH_BYTES = 1 << 22
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (unit tests on one machine) a temporary folder is made.
+    Only where the session names none and all runs on one machine (unit tests) a temporary
+    folder is made; on a cluster its executors would not share it, so that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tarnflow-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -45,3 +55,17 @@ def discard(*tables: DataFrame) -> None:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes, so that memory does not follow the length of texts."""
+    df.sparkSession.conf.set(BATCHES, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def unused(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores before it until no column has it."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name

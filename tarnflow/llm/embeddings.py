@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import discard, materialize, table
+from tarnflow.llm.common import discard, map_batches, materialize, table
 from tarnflow.llm.components import connected_components
 
 THRESHOLD = 0.9
@@ -107,7 +107,7 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 out.append(vector.tobytes() if good else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], names=["vec_id", "values"])
 
-    return narrow.mapInArrow(run, f"vec_id {kind}, values binary")
+    return map_batches(narrow, run, f"vec_id {kind}, values binary")
 
 
 def _file(classes: DataFrame, anchors: int, width: float) -> DataFrame:
@@ -133,7 +133,7 @@ def _file(classes: DataFrame, anchors: int, width: float) -> DataFrame:
                 types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["cell", "query", "class_id", "copies", "values"])
 
-    return classes.mapInArrow(run, "cell long, query boolean, class_id long, copies long, values binary")
+    return map_batches(classes, run, "cell long, query boolean, class_id long, copies long, values binary")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray, names: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import table
+from tarnflow.llm.common import map_batches, table
 
 #: Pages of the training sample, on average; twice as many at most.
 SAMPLE_PAGES = 2000
@@ -252,7 +252,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
             columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["name", "label", "n"])
 
-    summed = chosen.mapInArrow(run, "name string, label int, n long").groupBy("name").agg(
+    summed = map_batches(chosen, run, "name string, label int, n long").groupBy("name").agg(
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("no"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("yes")
     )
     return TreeModel({r["name"]: (float(r["no"]), float(r["yes"])) for r in summed.collect()})
@@ -273,7 +273,7 @@ def extract(pages: DataFrame, model: TreeModel, id_col: str = "page_id", url_col
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    return narrow.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return map_batches(narrow, run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 
 
 def op9(spark, sf_dir):

@@ -12,10 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tarnflow.llm.common import table
+from tarnflow.llm.common import map_batches, table
 
 UNDETERMINED = "und"
 #: Documents of the training sample (split evenly over the languages) and windows of each.
@@ -30,7 +32,9 @@ TRAIN_BATCH = 192
 RATE = 0.015
 #: Bytes that are run through the network in one piece, and pieces side by side.
 SPAN = 256
-SIDE = 1024
+SIDE = 512
+#: Bytes of texts that are labelled together; a longer text goes alone.
+TOGETHER = 1 << 20
 PAD = 256
 
 
@@ -225,54 +229,65 @@ def training_sample(documents: DataFrame, id_col: str, text_col: str, label_col:
         return [], [], []
     each = -(-sample_documents // len(languages))
     rates = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(min(1.0, each / counts[name])))])
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = labelled.where(drawn < rates[F.col(label_col)])
+    rank = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11))
+    chosen = labelled.where(F.pmod(rank, F.lit(1 << 30)) / F.lit(float(1 << 30)) < rates[F.col(label_col)])
     room = F.greatest(F.lit(1), F.length(text_col) - WINDOW_CHARS + 1)
     windows = [F.substring(F.col(text_col), (F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), room) + 1).cast("int"), F.lit(WINDOW_CHARS)) for k in range(WINDOWS)]
-    rows = chosen.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.array(*windows).alias("windows")).collect()
-    # The draw gives the sample size on average; this holds it for certain.
-    rows = sorted(rows, key=lambda r: (hash_order(r["id"]), r["label"], r["windows"]))[: 2 * sample_documents]
+    drawn = chosen.select(F.xxhash64(rank).alias("rank"), F.col(label_col).alias("label"), F.array(*windows).alias("windows")).distinct()
+    # The draw gives the sample size on average; the limit holds it for certain, before anything reaches the driver.
+    rows = drawn.orderBy("rank", "label", "windows").limit(2 * sample_documents).collect()
     index = {name: k for k, name in enumerate(languages)}
     pairs = [(w.encode("utf-8"), index[r["label"]]) for r in rows for w in dict.fromkeys(r["windows"]) if w]
     return [t for t, _ in pairs], [k for _, k in pairs], languages
 
 
-def hash_order(value: object) -> int:
-    """A fixed pseudo-random rank of an id."""
-    import zlib
+def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Cut a run of items into stretches ``(begin, end)`` of at most ``most`` together; a larger item goes alone."""
+    begin, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > begin and held + size > most:
+            yield begin, k
+            begin, held = k, 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
-    return zlib.crc32(f"langid:{value}".encode())
 
-
-def predict(documents: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def predict(
+    documents: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), pred_col: str = "lang_pred", score_col: str = "score"
+) -> DataFrame:
     """``doc_id``, the columns in ``keep``, ``lang_pred`` and ``score`` per row.
 
     ``score`` is the mean probability of the predicted language over all bytes. Text that
     is null or has no letter is ``und`` with score 0, and so is everything when no
-    language was learned. Repeated rows each give a row; other columns are ignored.
+    language was learned. Repeated rows each give a row; other columns are ignored; no rows
+    give no rows. Where a kept column has the name of a new one, ``pred_col`` and
+    ``score_col`` give the new ones others.
     """
-    others = [c for c in keep if c not in (id_col, text_col)]
-    narrow = documents.select(F.col(id_col).alias("doc_id"), *others, F.col(text_col).alias("__text"), *([F.col(text_col)] if text_col in keep else []))
-    passed = [f for f in narrow.schema.fields if f.name != "__text"]
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
+    kept = [c for c in keep if c != id_col]
+    sent = [F.col(id_col), *[F.col(c) for c in kept], *([] if text_col in keep or text_col == id_col else [F.col(text_col)])]
+    narrow = documents.select(*[c.alias(f"c{k}") for k, c in enumerate(sent)])
+    text_at = f"c{([id_col, *kept] + [text_col]).index(text_col)}"
+    passed = narrow.schema.fields[: 1 + len(kept)]
     schema = StructType([*passed, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeler = Labeler(network) if network else None
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                texts = [t or "" for t in part.column("__text").to_pylist()]
-                lettered = [any(map(str.isalpha, t)) for t in texts]
-                pooled = labeler.pool([t.encode("utf-8") if ok else b"" for t, ok in zip(texts, lettered, strict=True)]) if labeler else None
+            sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
+            for begin, end in slices(sizes, TOGETHER):
+                part = batch.slice(begin, end - begin)
+                found = [t or "" for t in part.column(text_at).to_pylist()]
+                lettered = [any(map(str.isalpha, t)) for t in found]
+                pooled = labeler.pool([t.encode("utf-8") if ok else b"" for t, ok in zip(found, lettered, strict=True)]) if labeler else None
                 best = pooled.argmax(1) if labeler else None
                 names = [network.languages[best[i]] if labeler and ok else UNDETERMINED for i, ok in enumerate(lettered)]
                 scores = [float(min(1.0, pooled[i, best[i]])) if labeler and ok else 0.0 for i, ok in enumerate(lettered)]
                 columns = [part.column(f.name) for f in passed] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in passed], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return narrow.mapInArrow(run, schema)
+    found = map_batches(narrow, run, schema)
+    return found.toDF("doc_id", *kept, pred_col, score_col)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -287,6 +302,8 @@ def identify(
     label_col: str = "lang",
     keep: tuple[str, ...] = (),
     sample_documents: int = SAMPLE_DOCUMENTS,
+    pred_col: str = "lang_pred",
+    score_col: str = "score",
 ) -> DataFrame:
     """Train on labelled documents that are not held out, then predict all; see :func:`predict`.
 
@@ -295,7 +312,7 @@ def identify(
     """
     texts, labels, languages = training_sample(documents.where(~held_out(id_col)), id_col, text_col, label_col, sample_documents)
     network = train_network(texts, labels, languages) if texts else None
-    return predict(documents, network, id_col, text_col, keep)
+    return predict(documents, network, id_col, text_col, keep, pred_col, score_col)
 
 
 def op2(spark, sf_dir):

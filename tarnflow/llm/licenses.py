@@ -10,7 +10,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarnflow.llm.common import table
+from tarnflow.llm.common import map_batches, table
 
 #: Phrases that the base scan counts, and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -220,7 +220,7 @@ def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=names)
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return map_batches(narrow, run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def op8(spark, sf_dir):

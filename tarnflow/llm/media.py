@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import materialize, table
+from tarnflow.llm.common import map_batches, materialize, table
 
 #: Payloads are padded with zero bytes to a positive multiple of this.
 BLOCK = 64
@@ -113,7 +113,7 @@ def interleave(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
             found = [parse_sequence(h.as_py() or "") for h in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(item))], names=["id", "sequence"])
 
-    return narrow.mapInArrow(run, f"id {kind}, sequence array<{ITEM}>").withColumnRenamed("id", id_col)
+    return map_batches(narrow, run, f"id {kind}, sequence array<{ITEM}>").withColumnRenamed("id", id_col)
 
 
 def store_payloads(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,7 +139,7 @@ def store_payloads(documents: DataFrame, id_col: str = "doc_id", text_col: str =
                 columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(media, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "digest", "media"])
 
-    return materialize(narrow.mapInArrow(run, f"doc_id {kind}, n_bytes long, digest string, media binary"), "media-store")
+    return materialize(map_batches(narrow, run, f"doc_id {kind}, n_bytes long, digest string, media binary"), "media-store")
 
 
 def read_payloads(stored: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def read_payloads(stored: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    described = stored.select("digest", "media").mapInArrow(run, schema)
+    described = map_batches(stored.select("digest", "media"), run, schema)
     figures = [c for c in described.columns if c != "digest"]
     # All copies of a digest have the same figures; max of a struct is a plain hash or sort aggregate.
     distinct = described.groupBy("digest").agg(F.max(F.struct(*figures)).alias("of"))

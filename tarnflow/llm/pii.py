@@ -243,15 +243,17 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the first. Texts without spans, null among them, stay as they are.
     """
     names = ", ".join(f"'<{k.upper()}>'" for k in KINDS)
-    spanned = find_spans(documents, id_col, text_col, keep=tuple(c for c in documents.columns if c != id_col))
+    # The row travels as one column, so its names cannot clash with those of the spans.
+    packed = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[F.col(c) for c in documents.columns]).alias("row"))
+    spanned = find_spans(packed, keep=("row",)).withColumn("text", F.col("row")[text_col])
     parts = f"""aggregate(array_sort(transform(found, c -> struct(c.s AS s, c.k AS k, c.e AS e))),
       named_struct('pos', 0L, 'out', CAST(array() AS array<string>)),
       (acc, c) -> IF(c.s < acc.pos,
         named_struct('pos', greatest(acc.pos, c.e), 'out', acc.out),
-        named_struct('pos', c.e, 'out', concat(acc.out, array(substring(`{text_col}`, CAST(acc.pos + 1 AS int), CAST(c.s - acc.pos AS int)), element_at(array({names}), c.k + 1))))),
-      acc -> concat(array_join(acc.out, ''), substring(`{text_col}`, CAST(acc.pos + 1 AS int))))"""
-    replaced = spanned.withColumn(text_col, F.when(F.size("found") > 0, F.expr(parts)).otherwise(F.col(text_col)))
-    return replaced.select(*[F.col("doc_id").alias(id_col) if c == id_col else F.col(c) for c in documents.columns])
+        named_struct('pos', c.e, 'out', concat(acc.out, array(substring(text, CAST(acc.pos + 1 AS int), CAST(c.s - acc.pos AS int)), element_at(array({names}), c.k + 1))))),
+      acc -> concat(array_join(acc.out, ''), substring(text, CAST(acc.pos + 1 AS int))))"""
+    replaced = F.when(F.size("found") > 0, F.expr(parts)).otherwise(F.col("text"))
+    return spanned.select(*[replaced.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in documents.columns])
 
 
 def op1(spark, sf_dir):
