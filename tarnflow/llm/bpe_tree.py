@@ -27,14 +27,14 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from tarnflow.llm.common import table
+from tarnflow.llm.common import map_batches, table
 
 #: Characters of a part that is encoded without further halving.
-LEAF_CHARS = 8192
+LEAF_CHARS = 256
 #: Characters of the first window tried on each side of a seam.
 FIRST_WINDOW = 32
 #: Ids decoded as one leaf of the decoding tree.
-LEAF_IDS = 8192
+LEAF_IDS = 256
 #: A non-space before a space. Python's \\s holds all that the pattern calls space, so this never errs.
 CUT = re.compile(r"\S(?=[ \n\t\r])")
 
@@ -152,7 +152,7 @@ def encode_documents(
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return narrow.mapInArrow(run, schema)
+    return map_batches(narrow, run, schema)
 
 
 def op3(spark, sf_dir):
