@@ -60,8 +60,8 @@ def plan_repetitions(
     Returns one row per input row: ``doc_id, size, source, source_size, target,
     repetitions, taken``. Every document of a source is taken the whole number
     of times that fits the target; the fraction that remains goes to documents in
-    the order of a seeded hash, until their words reach it, so a source misses its
-    target by half a document at most. ``taken`` is ``size * repetitions``.
+    the order of a seeded hash of id and text, until their words reach it, so a source misses
+    its target by half a document at most. ``taken`` is ``size * repetitions``.
 
     The running sum in hash order is built from two levels, sums of
     ``buckets`` hash ranges per source and sums inside a range, so no task ever
@@ -73,9 +73,9 @@ def plan_repetitions(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.col(text_col))), 1, 8), 16, 10).cast("long").alias("draw"),
     )
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
-    drawn = materialize(sizes.withColumn("draw", draw).withColumn("bucket", F.floor(F.col("draw") * buckets / F.lit(float(1 << 32))).cast("int")), "mixing-sizes")
+    drawn = materialize(sizes.withColumn("bucket", F.floor(F.col("draw") * buckets / F.lit(float(1 << 32))).cast("int")), "mixing-sizes")
 
     ranges = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = water_fill(ranges.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_epochs)
@@ -109,7 +109,7 @@ OP7_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS draw
+         ('0x' || substr(md5(concat_ws(':', '7', doc_id::VARCHAR, text)), 1, 8))::BIGINT AS draw
   FROM documents
 ), per_source AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
