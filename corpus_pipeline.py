@@ -2,55 +2,79 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of
-``documents``.
+``documents``. Stages tell rows apart by id and content, so rows that share an id or have
+none are documents of their own; further columns pass, whatever their names. A stage
+over no rows gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.llm import bpe_tree, jaccard, langid, mixing, pii
-from tarnflow.llm.common import materialize, table
+from tarnflow.llm.common import discard, materialize, table, unused
 
 #: Mean probability of the predicted language below which a text has no recognisable language.
 LEAST_SCORE = 0.4
+#: Words of a shingle and similarity in hundredths from which documents are near copies.
+SHINGLE_WORDS = 5
+SIMILAR_PERCENT = 80
+
+
+def _content(docs: DataFrame) -> Column:
+    """A digest of all columns of a row; nulls count."""
+    return F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters and those in which no language is recognised."""
-    found = langid.identify(docs, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Drop documents without letters (null and empty ones too) and those in which no language is recognised."""
+    best, score = unused("lang_pred", docs.columns), unused("score", docs.columns)
+    found = langid.identify(docs, keep=tuple(docs.columns), pred_col=best, score_col=score)
+    return found.where((F.col(best) != langid.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, the one with the smallest id.
 
-    Rows that share an id are told apart by a digest of their columns. Rows without an id
-    stay.
+    Near copies share 80 % of their shingles of five words. Rows that share an id are told
+    apart by a digest of their columns, equal rows stay once. Rows without an id or
+    without words stay.
     """
-    digest = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
-    rows = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", digest.alias("digest"))))
-    groups = jaccard.jaccard_components(rows, "_row")
-    ids = materialize(groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_least")), "pipeline-groups")
-    gone = materialize(ids.where("_row <> _least").select("_row").distinct(), "pipeline-gone")
-    kept = rows.join(gone, "_row", "left_anti")
-    twice = materialize(ids.where("_row = _least").groupBy("_row").agg(F.count("*").alias("n")).where("n > 1").select("_row"), "pipeline-twice")
+    key, least = unused("_row", docs.columns), unused("_least", docs.columns)
+    rows = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", _content(docs).alias("digest"))))
+    groups = jaccard.jaccard_components(rows, key, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+    ids = materialize(groups.select(F.col("doc_id").alias(key), F.col("component_id").alias(least)), "pipeline-groups")
+    gone = materialize(ids.where(F.col(key) != F.col(least)).select(key).distinct(), "pipeline-gone")
+    kept = rows.join(gone, key, "left_anti")
+    twice = materialize(ids.where(F.col(key) == F.col(least)).groupBy(key).agg(F.count("*").alias(least)).where(F.col(least) > 1).select(key), "pipeline-twice")
+    discard(ids)
     if not twice.isEmpty():
-        kept = kept.join(twice, "_row", "left_anti").unionByName(kept.join(twice, "_row", "left_semi").dropDuplicates(["_row"]))
+        kept = kept.join(twice, key, "left_anti").unionByName(kept.join(twice, key, "left_semi").dropDuplicates([key]))
     return kept.select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind."""
-    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Replace personal data by its kind; texts without any, null ones too, stay as they are."""
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that sources come near their targets."""
-    plan = mixing.plan_repetitions(docs).groupBy(F.col("doc_id").alias("of")).agg(F.max("repetitions").alias("times"))
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("of")))
-    return joined.withColumn("nth", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    """Repeat or leave out documents so that sources come near their targets.
+
+    Each row is taken as often as its own plan says. Equal rows share theirs: they are
+    taken once, as often as all of them together. Texts without words have no size and are left out
+    only where their source is.
+    """
+    key, times, rows, nth = (unused(c, docs.columns) for c in ("_row", "_times", "_rows", "_nth"))
+    keyed = docs.withColumn(key, _content(docs))
+    plan = mixing.plan_repetitions(keyed, id_col=key).groupBy(F.col("doc_id").alias(key)).agg(F.sum("repetitions").alias(times), F.count("*").alias(rows))
+    plan = materialize(plan.where(F.col(times) > 0), "pipeline-plan")
+    once = keyed.join(plan, key)
+    if not plan.where(F.col(rows) > 1).isEmpty():
+        once = once.where(F.col(rows) == 1).unionByName(once.where(F.col(rows) > 1).dropDuplicates([key]))
+    return once.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,13 +90,16 @@ STAGES = [
     ("bpe", bpe),
 ]
 
-#: Training, expectation maximisation and near copies are beyond SQL; tests hold run() against a plain version.
+#: Training, expectation maximisation and near copies are beyond SQL; tests hold each stage and run() against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
+    before: list[DataFrame] = []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

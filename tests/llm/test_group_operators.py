@@ -1,5 +1,6 @@
 """Operators over groups of rows: joins, components, mixing, and the pipeline."""
 
+import hashlib
 import random
 import re
 
@@ -9,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarnflow.llm import bpe_tree, embeddings, jaccard, langid, mixing, queries
+import public_tokenizers
+from tarnflow.llm import bpe_tree, embeddings, jaccard, langid, mixing, pii, queries
+from tarnflow.llm.common import materialize
 from tarnflow.llm.components import connected_components
 
 
@@ -43,10 +46,10 @@ def shingles(text, words=3):
     return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
 
 
-def plain_components(rows):
-    sets = {i: shingles(t) for i, t in rows}
+def plain_components(rows, words=3, percent=90):
+    sets = {i: shingles(t, words) for i, t in rows}
     ids = sorted(sets)
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     roots = roots_of(ids, links)
     return {i: (len(sets[i]), roots[i]) for i in ids}
 
@@ -70,12 +73,42 @@ def near_copies(seed=1):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_equals_plain(spark, seed):
+@pytest.mark.parametrize("large", [32, 2])
+@pytest.mark.parametrize("seed,words,percent", [(1, 3, 90), (2, 5, 80)])
+def test_jaccard_equals_plain(spark, monkeypatch, seed, words, percent, large):
+    """Also with nearly all groups taken for large ones, which are compared by their differences from a centre."""
+    monkeypatch.setattr(jaccard, "LARGE", large)
     rows = near_copies(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("n", "set_id", "tokens", "size", "component_id")})
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
-    assert found == plain_components(rows)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, words=words, percent=percent).collect()}
+    assert found == plain_components(rows, words, percent)
+
+
+def two_centres():
+    """Two large groups that are akin but not similar, a chain between them, and members far out."""
+    rnd = random.Random(7)
+    one = [f"w{rnd.randrange(10_000)}" for _ in range(200)]
+    two = one[:170] + [f"v{rnd.randrange(10_000)}" for _ in range(30)]
+    rows = []
+    for base in (one, two):
+        for _ in range(60):
+            copy = list(base)
+            for _ in range(rnd.choice([0, 1, 2, 3, 4, 5, 6, 9])):
+                copy[rnd.randrange(len(copy))] = f"x{rnd.randrange(10_000)}"
+            rows.append(" ".join(copy))
+    chain = list(one)
+    for k in range(8):
+        chain = chain[: 40 + 20 * k] + [f"c{k}"] + chain[41 + 20 * k :]
+        rows.append(" ".join(chain))
+    return list(enumerate(rows))
+
+
+def test_large_groups_equal_plain(spark):
+    rows = two_centres()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()}
+    plain = {i: root for i, (_, root) in plain_components(rows).items()}
+    assert found == plain and 2 < len(set(plain.values())) < len(rows)
 
 
 def test_jaccard_query_and_odd_tables(spark, sf_dir):
@@ -189,6 +222,20 @@ def test_mixing_odd_tables(spark):
     assert mixing.plan_repetitions(df.limit(0)).count() == 0
 
 
+def plain_mix(rows, weights=(5, 2, 1)):
+    """Repetitions of ``(id, text, source)`` rows, by one running sum per source."""
+    sized = [(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), int(hashlib.md5(":".join(["7", *[str(x) for x in (i, t) if x is not None]]).encode()).hexdigest()[:8], 16), i, n, s) for n, (i, t, s) in enumerate(rows)]
+    names = sorted({r[4] for r in sized}, key=lambda s: (s is None, s))
+    totals = [sum(r[0] for r in sized if r[4] == s) for s in names]
+    times = {}
+    for name, total, target in zip(names, totals, filled(totals, weights), strict=True):
+        whole, at = int(target // total) if total else 0, 0
+        for size, _, i, n, _ in sorted((r for r in sized if r[4] == name), key=lambda r: (r[1], r[2], r[0])):
+            times[n] = min(3, whole + (2 * at + size < 2 * (target - whole * total)))
+            at += size
+    return [times[n] for n in range(len(rows))]
+
+
 def test_mixing_equals_sql(spark, sf_dir):
     found = sorted(tuple(r) for r in queries.QUERIES["op7_mix_sources"](spark, sf_dir).collect())
     wanted = duckdb.sql(queries.SQL["op7_mix_sources"].replace("FROM documents", f"FROM '{sf_dir}/documents.parquet'")).fetchall()
@@ -199,29 +246,55 @@ def test_mixing_equals_sql(spark, sf_dir):
 # Pipeline
 
 
-def test_stages_against_plain_versions(spark, sf_dir):
+def more_documents(spark, sf_dir):
+    """Documents with null and wordless texts, repeated and missing ids, and columns whose names the stages use themselves."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    extra = spark.createDataFrame([(10_001, None, "en", "src0", 0), (10_002, "12 34 !!", "en", "src1", 8)], docs.schema)
-    docs = docs.union(extra).union(docs.where("doc_id = 0"))
+    one, two = (" ".join(f"{w}{k % 37}{chr(97 + k % 23)}" for k in range(90)) for w in ("the", "and"))
+    extra = [(10_001, None, "en", "src0", 0), (10_002, "12 34 !!", "en", "src1", 8), (0, one, "en", "src0", 9), (None, two, "en", None, 9), (None, two, "en", None, 9), (10_003, "", "en", "src0", 0)]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema)).union(docs.where("doc_id = 0"))
+    return docs.withColumns({c: F.lit(k) for k, c in enumerate(("score", "lang_pred", "found", "base", "candidates", "times", "of", "row", "_row", "_times", "component_id", "size", "c0"))})
+
+
+def test_stages_against_plain_versions(spark, sf_dir):
+    docs = more_documents(spark, sf_dir).cache()
     stages = dict(corpus_pipeline.STAGES)
     spoken = stages["language_id"](spark, docs, sf_dir).cache()
-    assert spoken.columns == docs.columns and {r.doc_id for r in docs.collect()} - {r.doc_id for r in spoken.collect()} == {10_001, 10_002}
+    scores = {(r.doc_id, r.text): r.s for r in langid.identify(docs.select("doc_id", "text", "lang"), keep=("text",), score_col="s").collect()}
+    assert spoken.columns == docs.columns
+    assert sorted(r.doc_id for r in spoken.collect() if r.doc_id is not None) == sorted(r.doc_id for r in docs.collect() if r.doc_id is not None and scores[r.doc_id, r.text] >= corpus_pipeline.LEAST_SCORE)
+    assert {10_001, 10_002, 10_003}.isdisjoint(r.doc_id for r in spoken.collect())
     kept = stages["ngram_jaccard"](spark, spoken, sf_dir).cache()
-    plain = plain_components([(r.doc_id, r.text) for r in spoken.collect()])
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({root for _, root in plain.values()})
+    named = list({(r.doc_id, r.text) for r in spoken.collect() if r.doc_id is not None})
+    plain = plain_components(list(enumerate(t for _, t in sorted(named))), 5, 80)
+    assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id is not None) == [sorted(named)[k] for k in sorted({root for _, root in plain.values()})]
+    assert kept.where("doc_id IS NULL").count() == spoken.where("doc_id IS NULL").count()
     clean = stages["pii"](spark, kept, sf_dir).cache()
-    assert clean.columns == docs.columns and clean.count() == kept.count()
-    assert not any(re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r.text) for r in clean.collect())
-    assert all(r.n_chars == len(r.text) for r in clean.collect())
+    spans = {(r.doc_id, r.text): r.found for r in pii.find_spans(kept.select("doc_id", "text"), keep=("text",)).collect()}
+    wanted = []
+    for r in kept.collect():
+        text = r.text
+        for k, s, e in sorted(((f.k, f.s, f.e) for f in spans[r.doc_id, r.text]), key=lambda f: -f[1]):
+            text = f"{text[:s]}<{pii.KINDS[k].upper()}>{text[e:]}"
+        wanted.append(repr((r.doc_id, text, len(text), r.found)))
+    assert clean.columns == docs.columns and sorted(repr((r.doc_id, r.text, r.n_chars, r.found)) for r in clean.collect()) == sorted(wanted)
     mixed = stages["mix_sources"](spark, clean, sf_dir).cache()
-    times = {r.doc_id: r.repetitions for r in mixing.plan_repetitions(clean).collect()}
-    assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {k: v for k, v in times.items() if v}
-    encoded = stages["bpe"](spark, mixed, sf_dir)
-    assert encoded.count() == mixed.count() and "ids_sha256" in encoded.columns
-    for df in (spoken, kept, clean, mixed):
+    digested = clean.select(corpus_pipeline._content(clean).alias("key"), "text", "source", "doc_id").collect()
+    wanted = sorted(repr((r.doc_id, r.text)) for r, n in zip(digested, plain_mix([(r.key, r.text, r.source) for r in digested]), strict=True) for _ in range(n))
+    assert mixed.columns == docs.columns and sorted(repr((r.doc_id, r.text)) for r in mixed.collect()) == wanted
+    encoding = bpe_tree.load_encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    wanted = sorted((r.doc_id is None, r.doc_id or 0, len(encoding.encode(r.text, disallowed_special=())), hashlib.sha256(r.text.encode()).hexdigest()) for r in mixed.collect())
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.decoded_sha256) for r in stages["bpe"](spark, mixed, sf_dir).collect()) == wanted
+    for df in (docs, spoken, kept, clean, mixed):
         df.unpersist()
 
 
+def test_stages_over_no_rows(spark, sf_dir):
+    empty = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, empty, sf_dir)
+        assert found.count() == 0 and (name == "bpe" or found.columns == empty.columns)
+
+
 def test_rows_that_share_an_id(spark, sf_dir):
     """Only copies go, and the row that stays does not depend on the order of rows."""
     rnd = random.Random(9)
@@ -236,6 +309,8 @@ def test_rows_that_share_an_id(spark, sf_dir):
         assert sorted(repr(tuple(r)) for r in found.collect()) == wanted
 
 
-def test_pipeline_runs(spark, sf_dir):
-    assert corpus_pipeline.run(spark, sf_dir).count() > 100
-    assert bpe_tree.LEAF_CHARS > 0 and langid.SAMPLE_DOCUMENTS > 0
+def test_run_is_its_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), "test-stage")
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, docs.collect())) and docs.count() > 100
