@@ -48,6 +48,8 @@ FILTER_BITS = 1 << 23
 #: Tables that one task adds up, and members from which a group is large. Neither changes the result.
 FAN_IN = 64
 LARGE = 32
+#: Set names that may be broadcast (8 bytes each), to read only these sets; more are joined.
+BROADCAST_NAMES = 1 << 19
 _BASE = 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -177,9 +179,9 @@ def count_words(documents: DataFrame, text_col: str) -> np.ndarray:
     return counters
 
 
-def size_class(n: int, percent: int = PERCENT) -> int:
+def size_class(n: Column, percent: int = PERCENT) -> Column:
     """Sizes that can be similar are in the same or in neighbouring classes."""
-    return int(math.log(n) / (math.log(100 / percent) * 1.001))
+    return F.floor(F.log(n) / (math.log(100 / percent) * 1.001)).cast("int")
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -189,23 +191,22 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def profiles(documents: DataFrame, id_col: str, text_col: str, words: int, percent: int, counters: np.ndarray) -> DataFrame:
-    """``doc_id, set_id, n, size, tokens``: name and size of each set and its prefix in the first order."""
+    """``doc_id, set_id, n, tokens``: name and size of each set and its prefix in the first order."""
     narrow = documents.select(documents[id_col].alias("doc_id"), documents[text_col].alias("text"))
     kind = dict(narrow.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, counts, sizes, tokens = [], [], [], []
+            names, counts, tokens = [], [], []
             for text in batch.column("text"):
                 found = rare_first((text.as_py() or "").encode("utf-8"), counters, words)
                 counts.append(len(found))
                 names.append(class_of(found) if len(found) else None)
-                sizes.append(size_class(len(found), percent) if len(found) else None)
                 tokens.append(found[: prefix_length(len(found), percent)].view(np.int64) if len(found) else [])
-            columns = [batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_id", "n", "size", "tokens"])
+            columns = [batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(counts, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_id", "n", "tokens"])
 
-    return map_batches(narrow, run, f"doc_id {kind}, set_id long, n long, size int, tokens array<long>")
+    return map_batches(narrow, run, f"doc_id {kind}, set_id long, n long, tokens array<long>")
 
 
 def _filter_of(wanted: DataFrame) -> np.ndarray:
@@ -239,30 +240,40 @@ def wanted_sets(documents: DataFrame, wanted: DataFrame, text_col: str, words: i
                 if name in seen or not (int(bitmap[slot >> 6]) >> (slot & 63)) & 1:
                     continue
                 seen.add(name)
-                rows.append((name, len(tokens), tokens.view(np.int64), *[prefix(tokens, seed, percent).view(np.int64) for seed in ORDERS[1:]]))
-            types = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+                # Half of a rank is enough for a filter: equal tokens stay equal.
+                rows.append((name, len(tokens), tokens.view(np.int64), *[(prefix(tokens, seed, percent) >> np.uint64(32)).astype(np.uint32).view(np.int32) for seed in ORDERS[1:]]))
+            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 2]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["set_id", "n", "all", "second", "third"])
 
-    found = map_batches(documents.select(documents[text_col].alias("text")), run, "set_id long, n long, all array<long>, second array<long>, third array<long>")
+    found = map_batches(documents.select(documents[text_col].alias("text")), run, "set_id long, n long, all array<long>, second array<int>, third array<int>")
     return materialize(found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "jaccard-sets")
 
 
+def named(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets that occur in ``pairs`` (a written table), if their names are few enough to be sent to all tasks; else all."""
+    names = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    return sets.join(F.broadcast(names), "set_id", "left_semi") if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else sets
+
+
 def filtered(pairs: DataFrame, sets: DataFrame, percent: int | None, made: list[DataFrame]) -> DataFrame:
     """Pairs that pass the filters of size and of the other orders, with both sets: ``a, b, n_a, n_b, all_a, all_b``.
 
     Without ``percent`` the size does not matter, and one of the other orders is enough.
-    ``made`` gets the table that the result reads.
+    ``made`` gets the tables that the result reads.
     """
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("set_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+    def side(some: DataFrame, name: str, *columns: str) -> DataFrame:
+        return some.select(F.col("set_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
     second, third = F.arrays_overlap("second_a", "second_b"), F.arrays_overlap("third_a", "third_b")
     similar = second | third if percent is None else (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & second & third
-    near = pairs.join(side("a", "n", "second", "third"), "a").join(side("b", "n", "second", "third"), "b").where(similar).select("a", "b", "n_a", "n_b")
+    pairs = materialize(pairs, "jaccard-pairs")
+    some = named(sets, pairs)
+    near = pairs.join(side(some, "a", "n", "second", "third"), "a").join(side(some, "b", "n", "second", "third"), "b").where(similar).select("a", "b", "n_a", "n_b")
     near = materialize(near, "jaccard-candidates")
-    made.append(near)
-    return near.join(side("a", "all"), "a").join(side("b", "all"), "b")
+    made += [pairs, near]
+    some = named(sets, near)
+    return near.join(side(some, "a", "all"), "a").join(side(some, "b", "all"), "b")
 
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int, made: list[DataFrame]) -> DataFrame:
@@ -379,19 +390,36 @@ def jaccard_components(
     """
     counters = count_words(documents, text_col)
     profile = materialize(profiles(documents, id_col, text_col, words, percent, counters), "jaccard-profiles")
-    classes = profile.where("n > 0").select("set_id", "n", "size", "tokens").dropDuplicates(["set_id"])
-    tokens = classes.select("set_id", "n", "size", F.posexplode("tokens").alias("pos", "token"))
-    # Size and place in one number, as this is the largest thing that is dealt out.
-    place = F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long"))
-    lists = tokens.select("set_id", place.alias("place"), F.explode(F.array(F.xxhash64("token", "size"), F.xxhash64("token", F.col("size") - 1))).alias("list"))
-    whole = Window.partitionBy("list")
-    shared = lists.withColumn("hub", F.min("set_id").over(whole)).withColumn("last", F.max("set_id").over(whole)).where("hub < last")
-    n, pos = F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos")
-    shared = materialize(shared.select("list", "set_id", "hub", n, pos), "jaccard-lists")
+    classes = profile.where("n > 0").select("set_id", "n", "tokens").dropDuplicates(["set_id"])
+    tokens = classes.select("set_id", "n", F.posexplode("tokens").alias("pos", "token"))
+    # Size and place in one number, and size classes only once the tokens are dealt out: this is the largest thing that is.
+    dealt = tokens.select("token", "set_id", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("place")).repartition("token")
+    size = size_class(F.shiftright("place", 32), percent)
+    lists = dealt.select("token", "set_id", "place", F.explode(F.array(size, size - 1)).alias("size"))
+    whole = Window.partitionBy("token", "size")
+    bounds = {name: f(F.struct("set_id", "place")).over(whole) for name, f in (("first", F.min), ("last", F.max))}
+    shared = lists.withColumns(bounds | {"members": F.count("*").over(whole)}).where("first.set_id < last.set_id")
+
+    def n_of(place: str) -> Column:
+        return F.shiftright(place, 32)
+
+    def after(place: str) -> Column:
+        """Tokens of a set from the shared one on, in the first order."""
+        return n_of(place) - F.col(place).bitwiseAND(F.lit((1 << 32) - 1))
+
+    def can_link(x: str, y: str) -> Column:
+        most = (100 + percent) * F.least(after(x), after(y)) >= percent * (n_of(x) + n_of(y))
+        return most & (100 * F.least(n_of(x), n_of(y)) >= percent * F.greatest(n_of(x), n_of(y)))
+
+    # Two sets alone in a list that cannot link by the places of the token have nothing to do with each other here.
+    shared = shared.where((F.col("members") > 2) | can_link("first.place", "last.place"))
+    to_hub = can_link("place", "first.place").alias("near_hub")
+    shared = shared.select(F.xxhash64("token", "size").alias("list"), "set_id", F.col("first.set_id").alias("hub"), n_of("place").alias("n"), (n_of("place") - after("place")).alias("pos"), to_hub)
+    shared = materialize(shared, "jaccard-lists")
 
     made: list[DataFrame] = []
     sets = wanted_sets(documents, shared.select("set_id").distinct(), text_col, words, percent)
-    to_hub = shared.where("set_id <> hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct()
+    to_hub = shared.where("set_id <> hub AND near_hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct()
     compared = materialize(compare_with_hubs(to_hub, sets, percent, made), "jaccard-hubs")
     members = centred(compared)
     sure, keyed = pairs_by_difference(members, percent)
