@@ -395,10 +395,10 @@ def _orders_customers(spark, sf_dir):
 def _join_query(how: str):
     def run(spark, sf_dir):
         orders, customer = _orders_customers(spark, sf_dir)
-        return joins.join(orders.where("o_custkey % 3 <> 0"), customer.where("c_custkey % 2 = 0"), "l.o_custkey = r.c_custkey", how)
+        return joins.join(orders, customer, "l.o_custkey = r.c_custkey AND l.o_totalprice > 100000", how)
 
     run.__name__ = f"join_{how}"
-    _query(f"SELECT o_orderkey, o_custkey, o_totalprice, c_custkey, c_name FROM (SELECT * FROM orders WHERE o_custkey % 3 <> 0) {how} JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")(run)
+    _query(f"SELECT o_orderkey, o_custkey, o_totalprice, c_custkey, c_name FROM orders {how} JOIN customer ON o_custkey = c_custkey AND o_totalprice > 100000")(run)
 
 
 for _how in ("inner", "left", "right", "full"):
@@ -491,18 +491,18 @@ def as_of(spark, sf_dir):
     return joins.as_of_join(purchases, clicks, "user_id", "p_ts", "c_ts")
 
 
-@_query(r"SELECT doc_id, unnest(string_split(left(text, 200), ' ')) AS token FROM documents")
+@_query(r"SELECT doc_id, unnest(string_split(text, ' ')) AS token FROM documents")
 def lateral_function(spark, sf_dir):
     from pyspark.sql.functions import udtf
 
     class Tokens:
         def eval(self, text: str):
-            for token in (text or "").split(" "):
+            for token in text.split(" ") if text is not None else ():
                 yield (token,)
 
-    relations.register_function(spark, "tarnflow_tokens", udtf(Tokens, returnType="token string"))
-    documents = _read(spark, sf_dir, "documents").selectExpr("doc_id", "left(text, 200) AS head")
-    return joins.lateral_join(documents, "tarnflow_tokens", ["l.head"], {"token": "STRING"}).select("doc_id", "token")
+    relations.register_function(spark, "tarnflow_tokens", udtf(Tokens, returnType="token string", useArrow=True))
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return joins.lateral_join(documents, "tarnflow_tokens", ["l.text"], {"token": "STRING"}).select("doc_id", "token")
 
 
 # Routing and validation

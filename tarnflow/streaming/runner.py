@@ -78,22 +78,27 @@ def run_with_restarts(make: Callable[[], object], attempts: int = 3, wait_s: flo
 def top_n_stream(df: DataFrame, key: list[str], order: list[tuple[str, bool]], n: int) -> DataFrame:
     """A changing top-N: every batch emits the list of each key it touched (``update`` mode).
 
-    State is the n rows of a key. ``order`` is columns and whether they descend.
+    State is the n rows of a key, as an Arrow stream, so every type comes back as it was.
+    ``order`` is columns and whether they descend.
     """
     from pyspark.sql import types as T
 
     columns = df.columns
     names, falling = [c for c, _ in order], [d for _, d in order]
     out = T.StructType([*df.schema.fields, T.StructField("rownum", T.LongType())])
-    state_type = T.StructType([T.StructField("rows", T.StringType())])
+    state_type = T.StructType([T.StructField("rows", T.BinaryType())])
 
     def update(keys, batches, state):
-        import io
+        import pyarrow as pa
 
-        held = [pd.read_json(io.StringIO(state.get[0]), orient="split", dtype=False, convert_dates=False)] if state.exists else []
+        held = [pa.ipc.open_stream(bytes(state.get[0])).read_pandas()] if state.exists else []
         rows = pd.concat([*held, *[b[columns] for b in batches]], ignore_index=True)
         best = rows.sort_values(names, ascending=[not d for d in falling], kind="stable").head(n)
-        state.update((best.to_json(orient="split", index=False),))
+        kept = pa.Table.from_pandas(best, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, kept.schema) as stream:
+            stream.write_table(kept)
+        state.update((sink.getvalue().to_pybytes(),))
         yield best.assign(rownum=range(1, len(best) + 1))
 
     return df.groupBy(*key).applyInPandasWithState(update, out, state_type, "update", "NoTimeout")

@@ -57,15 +57,16 @@ def test_keyed_sink_and_several_sinks(spark, feed, tmp_path):
 
 
 def test_top_n_stream(spark, feed, tmp_path):
-    top = runner.top_n_stream(runner.replay(spark, feed, SCHEMA).select("id", "k", "v"), ["k"], [("v", True), ("id", False)], 2)
+    top = runner.top_n_stream(runner.replay(spark, feed, SCHEMA).select("id", "k", "v", "ts"), ["k"], [("v", True), ("id", False)], 2)
     last = {}
 
     def keep(rows):
         for r in rows.collect():
-            last[(r.k, r.rownum)] = (r.id, r.v)
+            last[(r.k, r.rownum)] = (r.id, r.v, r.ts)
 
     finish(runner.start(top, str(tmp_path / "c"), "update", sinks=[keep]))
-    assert last == {("a", 1): (18, 18.0), ("a", 2): (38, 18.0), ("b", 1): (19, 19.0), ("b", 2): (39, 19.0)}
+    at = {r.id: r.ts for r in spark.read.parquet(feed).collect()}
+    assert last == {("a", 1): (18, 18.0, at[18]), ("a", 2): (38, 18.0, at[38]), ("b", 1): (19, 19.0, at[19]), ("b", 2): (39, 19.0, at[39])}
 
 
 def test_stream_join(spark, feed, tmp_path):
