@@ -37,9 +37,14 @@ TAG_WORDS = ("spdx", "license", "identifier")
 IDENTIFIERS = {
     "mit": "mit", "apache": "apache", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "mpl": "mpl", "bsd": "bsd",
     "isc": "isc", "epl": "epl", "bsl": "bsl", "cc": "cc", "unlicense": "unlicense", "zlib": "zlib", "0bsd": "bsd",
+    "cc0": "cc0", "cc-by": "cc-by", "cc-by-nc": "cc-by-nc", "cc-by-sa": "cc-by-sa", "cc-by-nd": "cc-by-nd", "cc-by-nc-sa": "cc-by-nc-sa", "cc-by-nc-nd": "cc-by-nc-nd",
+    "cpl": "cpl", "eupl": "eupl", "ofl": "ofl", "wtfpl": "wtfpl", "python": "python", "psf": "python", "postgresql": "postgresql",
+    "ncsa": "ncsa", "ms-pl": "ms-pl", "ms-rl": "ms-rl", "osl": "osl", "afl": "afl", "ecl": "ecl", "blueoak": "blueoak", "odbl": "odbl", "mulanpsl": "mulanpsl", "upl": "upl",
 }
 #: Labels that allow use without copyleft or further conditions; others are judged false.
-PERMISSIVE = frozenset({"mit", "apache", "bsd", "isc", "bsl", "zlib", "unlicense", "cc-by"})
+PERMISSIVE = frozenset(
+    {"mit", "apache", "bsd", "isc", "bsl", "zlib", "unlicense", "cc-by", "cc0", "wtfpl", "python", "postgresql", "ncsa", "afl", "ecl", "blueoak", "mulanpsl", "upl", "ms-pl"}
+)
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 #: Lower-cases A-Z and turns everything that is no word byte into a space.
 _FOLD = bytes(
@@ -82,7 +87,9 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
 
 def label_of(identifier: str) -> str | None:
     """The label of an identifier such as ``gpl-2.0-only``."""
-    return IDENTIFIERS.get(identifier.split("-")[0].rstrip("+"))
+    parts = identifier.rstrip("+").split("-")
+    names = ("-".join(parts[:k]) for k in range(len(parts), 0, -1))
+    return next((IDENTIFIERS[n] for n in names if n in IDENTIFIERS), None)
 
 
 def evaluate(postfix: list[str], allowed: frozenset[str] = PERMISSIVE) -> tuple[set[str], bool]:
@@ -143,12 +150,23 @@ def automaton(extra: tuple[tuple[str, str], ...]) -> ahocorasick.Automaton:
     return found
 
 
+#: Lower-cases A-Z only, so that places in the result are places in the text.
+_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(0x41, 0x5B)})
+
+
+@lru_cache(maxsize=1)
+def tag_automaton() -> ahocorasick.Automaton:
+    """The tag as it is written, for its places in a text."""
+    found = ahocorasick.Automaton()
+    found.add_word("spdx-license-identifier:", True)
+    found.make_automaton()
+    return found
+
+
 def tag_positions(text: str) -> Iterator[int]:
     """Where expressions start: after each identifier tag."""
-    lower, at, tag = text.lower(), 0, "spdx-license-identifier:"
-    while (at := lower.find(tag, at)) >= 0:
-        at += len(tag)
-        yield at
+    for end, _ in tag_automaton().iter(text.translate(_LOWER)):
+        yield end + 1
 
 
 def scan(text: str, machine: ahocorasick.Automaton) -> tuple:
@@ -158,7 +176,7 @@ def scan(text: str, machine: ahocorasick.Automaton) -> tuple:
     n_base, first, last = 0, None, None
     base: set[str] = set()
     labels: set[str] = set()
-    evidence: list[float] = []
+    miss = 1.0
     seen_at, seen_words, tagged = 0, 0, False
     for end, values in machine.iter(joined):
         for kind, label, length in values:
@@ -174,10 +192,10 @@ def scan(text: str, machine: ahocorasick.Automaton) -> tuple:
                 first = seen_words if first is None else min(first, seen_words)
                 last = seen_words if last is None else max(last, seen_words)
                 base.add(label)
-                evidence.append(0.9)
+                miss *= 1.0 - 0.9
             elif kind == "notice":
                 labels.add(label)
-                evidence.append(0.7)
+                miss *= 1.0 - 0.7
             else:
                 tagged = True
     if tagged:
@@ -186,10 +204,7 @@ def scan(text: str, machine: ahocorasick.Automaton) -> tuple:
             if postfix:
                 named, permissive = evaluate(postfix)
                 labels |= named
-                evidence.append(0.99 if permissive else 0.95)
-    miss = 1.0
-    for weight in evidence[:64]:
-        miss *= 1.0 - weight
+                miss *= 1.0 - (0.99 if permissive else 0.95)
     return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 - miss
 
 

@@ -112,6 +112,15 @@ def test_license_expressions_with_unknown_operands(expression, labels, allowed):
     assert set(found[5].split(",")) == labels and found[6] == pytest.approx(0.99 if allowed else 0.95)
 
 
+def test_license_tags_after_letters_that_change_length():
+    machine = licenses.automaton(tuple(licenses.NOTICE_PHRASES.items()))
+    assert licenses.scan("\u0130" * 4 + " # SPDX-License-Identifier: MIT", machine)[5] == "mit"
+    assert licenses.scan("spdx-license-identifier: CC-BY-4.0 OR EUPL-1.2+", machine)[5:] == ("cc-by,eupl", pytest.approx(0.99))
+    assert licenses.scan("x SPDX-License-Identifier: CC0-1.0", machine)[5] == "cc0" and licenses.scan("SPDX-License-Identifier: CC-BY-NC-4.0", machine)[5:] == ("cc-by-nc", pytest.approx(0.95))
+    many = licenses.scan("mit license " * 100 + "\n# SPDX-License-Identifier: GPL-2.0", machine)
+    assert many[5] == "gpl,mit" and many[6] == 1.0
+
+
 def test_ill_formed_expressions():
     assert licenses.to_postfix(["mit", "or"]) is None and licenses.to_postfix(["(", "mit"]) is None and licenses.to_postfix(["mit", "mit"]) is None and licenses.to_postfix([]) is None
 
