@@ -90,3 +90,82 @@ def upsert(current: DataFrame, changes: DataFrame, key: list[str], sequence: lis
     """A keyed table after more changes (``__op`` as in :func:`decode_changes`)."""
     based = current.withColumn("__op", F.lit("insert"))
     return fold(based.unionByName(changes, allowMissingColumns=True), key, sequence)
+
+
+def _kinds(columns: list[str], engine: str, aggregates: dict[str, str] | None) -> dict[str, str]:
+    """The function of each column in the engines that merge column by column."""
+    given = (aggregates or {}) if engine == "aggregation" else {}
+    return {c: given.get(c, "last_non_null_value") for c in columns}
+
+
+def begin(rows: DataFrame, key: list[str], engine: str, sequence: list[str], aggregates: dict[str, str] | None, write: int) -> DataFrame:
+    """Rows as accumulators of a keyed table; ``write`` numbers the write that brings them.
+
+    Ranked engines hold the row beside its sequence and whether it is a delete. The others
+    hold each column as its function needs it. They know no deletes: one stops the write.
+    """
+    op = F.col("__op") if "__op" in rows.columns else F.lit(None).cast("string")
+    gone = op.eqNullSafe(F.lit("delete"))
+    columns = [c for c in rows.columns if c not in key and c != "__op"]
+    keys = [F.col(quote(k)) for k in key]
+    at = F.struct(*[F.col(quote(c)).alias(f"s{n}") for n, c in enumerate(sequence)], F.lit(write).cast("long").alias("write"))
+    if engine in ("deduplicate", "first-row"):
+        return rows.select(*keys, F.struct(at.alias("at"), gone.alias("gone"), F.struct(*[F.col(quote(c)) for c in columns]).alias("row")).alias("__held"))
+    if engine not in ("partial-update", "aggregation"):
+        raise ValueError(f"no merge engine {engine}")
+    made = []
+    for c, kind in _kinds(columns, engine, aggregates).items():
+        x, of = F.col(quote(c)), rows.schema[c].dataType
+        if kind == "sum" and isinstance(of, T.DecimalType):
+            state = x.cast(T.DecimalType(38, of.scale))
+        elif kind == "sum":
+            state = x.cast("long" if isinstance(of, T.IntegralType) else "double")
+        elif kind == "product":
+            state = x.cast("double")
+        elif kind in ("min", "max", "bool_and", "bool_or"):
+            state = x
+        elif kind == "count":
+            state = F.when(x.isNotNull(), 1).otherwise(0).cast("long")
+        elif kind in ("first_value", "last_value"):
+            state = F.struct(at.alias("at"), x.alias("x"))
+        elif kind == "last_non_null_value":
+            state = F.when(x.isNotNull(), F.struct(at.alias("at"), x.alias("x")))
+        elif kind == "listagg":
+            state = F.filter(F.array(F.struct(at.alias("at"), x.cast("string").alias("x"))), lambda s: s["x"].isNotNull())
+        else:
+            raise ValueError(f"no aggregate {kind}")
+        made.append(F.when(gone, F.raise_error(f"{engine} takes no deletes")).otherwise(state).alias(c) if "__op" in rows.columns else state.alias(c))
+    return rows.select(*keys, *made)
+
+
+def combine(state: DataFrame, key: list[str], engine: str, aggregates: dict[str, str] | None = None) -> DataFrame:
+    """One accumulator per key; aggregates partially, so that a hot key is reduced before the shuffle."""
+    keys = [F.col(quote(k)) for k in key]
+    if engine in ("deduplicate", "first-row"):
+        pick = F.max_by if engine == "deduplicate" else F.min_by
+        return state.groupBy(*keys).agg(pick("__held", F.col("__held.at")).alias("__held"))
+    made = []
+    for c, kind in _kinds([c for c in state.columns if c not in key], engine, aggregates).items():
+        x = F.col(quote(c))
+        made.append({
+            "sum": lambda x: F.sum(x), "count": lambda x: F.sum(x), "product": lambda x: F.product(x), "min": lambda x: F.min(x), "max": lambda x: F.max(x),
+            "bool_and": lambda x: F.bool_and(x), "bool_or": lambda x: F.bool_or(x), "first_value": lambda x: F.min_by(x, x["at"]), "last_value": lambda x: F.max_by(x, x["at"]),
+            "last_non_null_value": lambda x: F.max_by(x, x["at"]), "listagg": lambda x: F.flatten(F.collect_list(x)),
+        }[kind](x).cast(state.schema[c].dataType).alias(c))
+    return state.groupBy(*keys).agg(*made)
+
+
+def finish(state: DataFrame, key: list[str], engine: str, aggregates: dict[str, str] | None = None) -> DataFrame:
+    """The rows that accumulators stand for."""
+    keys = [F.col(quote(k)) for k in key]
+    if engine in ("deduplicate", "first-row"):
+        return state.where("NOT __held.gone").select(*keys, "__held.row.*")
+    made = []
+    for c, kind in _kinds([c for c in state.columns if c not in key], engine, aggregates).items():
+        x = F.col(quote(c))
+        if kind in ("first_value", "last_value", "last_non_null_value"):
+            x = x["x"]
+        elif kind == "listagg":
+            x = F.array_join(F.transform(F.array_sort(x), lambda s: s["x"]), ",")
+        made.append(x.alias(c))
+    return state.select(*keys, *made)

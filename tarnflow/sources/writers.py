@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnflow.functions.dialect import quote
-from tarnflow.operators.cdc import merge, upsert
+from tarnflow.operators.cdc import begin, combine, finish
 
 #: Partition functions, the columns they make and their types.
 PARTITIONS = {
@@ -93,43 +96,104 @@ def upsert_statement(table: str, staging: str, columns: list[str], key: list[str
 class KeyedTable:
     """A table with a primary key and a merge engine, kept as Parquet.
 
-    Every write makes a new version beside the old one and then names it the current, so
-    readers never see half of it and a batch that is written twice counts once.
+    It holds accumulators, not results: deletes with their sequence, the sequence of each
+    column's value, counts and lists. So rows may come in any split over writes and in any
+    order and give what one :func:`merge` of them all gives. Where sequences tie, the later
+    write wins (``first-row`` and ``first_value``: the earlier).
+
+    Rows lie in ``buckets`` by key, and a write makes new files for those buckets alone that
+    it has rows for. A manifest names the files of each bucket and the last batch of each
+    query; it appears at once, so readers see all of a write or nothing, and a batch that comes
+    again changes nothing. Files that none of the last ``keep`` manifests names are deleted.
+    Deletes stay in the table, as late rows may still come. One writer at a time: a second one
+    that commits the same version fails.
     """
 
-    def __init__(self, path: str, key: list[str], sequence: list[str], engine: str = "deduplicate", aggregates: dict[str, str] | None = None, buckets: int | None = None) -> None:
-        self.path, self.key, self.sequence, self.engine, self.aggregates, self.buckets = path.rstrip("/"), key, sequence, engine, aggregates, buckets
-
-    def _versions(self, spark) -> list[int]:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        system = folder.getFileSystem(conf)
-        if not system.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in system.listStatus(folder)]
-        done = [n for n in names if n.startswith("v") and system.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done)
+    def __init__(
+        self, path: str, key: list[str], sequence: list[str], engine: str = "deduplicate", aggregates: dict[str, str] | None = None, buckets: int = 8, keep: int = 2
+    ) -> None:
+        self.path, self.key, self.sequence, self.engine, self.aggregates, self.buckets, self.keep = path.rstrip("/"), key, sequence, engine, aggregates, buckets, keep
+
+    def _files(self, spark):
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path
+        return path, path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _manifests(self, spark) -> list[int]:
+        path, system = self._files(spark)
+        folder = path(f"{self.path}/_manifests")
+        names = [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _manifest(self, spark, number: int) -> dict:
+        return json.loads(spark.read.option("wholetext", True).text(f"{self.path}/_manifests/{number}").first()[0])
+
+    def _commit(self, spark, number: int, manifest: dict) -> None:
+        path, system = self._files(spark)
+        draft = path(f"{self.path}/_drafts/{uuid.uuid4().hex}")
+        stream = system.create(draft)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        system.mkdirs(path(f"{self.path}/_manifests"))
+        final = path(f"{self.path}/_manifests/{number}")
+        if system.exists(final) or not system.rename(draft, final):
+            raise RuntimeError(f"version {number} of {self.path} was written by another writer")
+        self._expire(spark)
+
+    def _expire(self, spark) -> None:
+        """Delete manifests but the last ones, and the files that only deleted ones named."""
+        path, system = self._files(spark)
+        numbers = self._manifests(spark)
+        kept = [self._manifest(spark, n) for n in numbers[-self.keep :]]
+        used = {(v, k) for m in kept for k, v in m["buckets"].items()}
+        for n in numbers[: -self.keep]:
+            for k, v in self._manifest(spark, n)["buckets"].items():
+                if (v, k) not in used:
+                    system.delete(path(f"{self.path}/{v}/__bucket={k}"), True)
+                if v not in {w for w, _ in used}:
+                    system.delete(path(f"{self.path}/{v}"), True)
+            system.delete(path(f"{self.path}/_manifests/{n}"), False)
+
+    def _state(self, spark, manifest: dict, buckets: set[str] | None = None) -> DataFrame | None:
+        """Accumulators of some buckets or all."""
+        paths = [f"{self.path}/{v}/__bucket={k}" for k, v in sorted(manifest["buckets"].items()) if buckets is None or k in buckets]
+        return spark.read.schema(T.StructType.fromJson(manifest["schema"])).parquet(*paths) if paths else None
 
     def read(self, spark) -> DataFrame | None:
-        versions = self._versions(spark)
-        return spark.read.parquet(f"{self.path}/v{versions[-1]}") if versions else None
-
-    def write(self, rows: DataFrame, batch_id: int | None = None) -> None:
-        """Merge rows (with ``__op`` if some are deletes); ``batch_id`` makes repeats of a batch harmless."""
-        versions = self._versions(rows.sparkSession)
-        number = batch_id if batch_id is not None else (versions[-1] + 1 if versions else 0)
-        if number in versions:
+        """The rows of the last write, or None before the first."""
+        numbers = self._manifests(spark)
+        if not numbers:
+            return None
+        manifest = self._manifest(spark, numbers[-1])
+        return finish(self._state(spark, manifest), self.key, self.engine, self.aggregates)
+
+    def write(self, rows: DataFrame, batch_id: int | None = None, query: str = "") -> None:
+        """Merge rows (with ``__op`` if some are deletes).
+
+        ``batch_id`` makes repeats of a batch harmless; batches of a ``query`` are numbered in
+        their order, and each query (and each stream by its checkpoint) counts for itself.
+        """
+        spark = rows.sparkSession
+        numbers = self._manifests(spark)
+        old = self._manifest(spark, numbers[-1]) if numbers else {"buckets": {}, "batches": {}}
+        if batch_id is not None and batch_id <= old["batches"].get(query, -1):
             return
-        current = self.read(rows.sparkSession)
-        if self.engine == "deduplicate":
-            rows = rows if "__op" in rows.columns else rows.withColumn("__op", F.lit("insert"))
-            empty = rows.drop("__op").limit(0)
-            merged = upsert(current if current is not None else empty, rows, self.key, self.sequence)
-        else:
-            both = rows if current is None else current.unionByName(rows)
-            merged = merge(both, self.key, self.engine, self.sequence, self.aggregates)
-        merged = merged.repartition(self.buckets, *map(quote, self.key)) if self.buckets else merged
-        merged.write.mode("overwrite").parquet(f"{self.path}/v{number}")
+        number = numbers[-1] + 1 if numbers else 0
+        if old.get("of", self.buckets) != self.buckets:
+            raise ValueError(f"{self.path} has {old['of']} buckets")
+        bucket = F.pmod(F.xxhash64(*[F.col(quote(k)) for k in self.key]), F.lit(self.buckets)).cast("int")
+        fresh = combine(begin(rows, self.key, self.engine, self.sequence, self.aggregates, number), self.key, self.engine, self.aggregates).persist()
+        try:
+            touched = {str(r[0]) for r in fresh.select(bucket.alias("b")).distinct().collect()}
+            state = self._state(spark, old, touched) if numbers else None
+            merged = fresh if state is None else combine(state.unionByName(fresh), self.key, self.engine, self.aggregates)
+            folder = f"v{number}-{uuid.uuid4().hex}"
+            if touched:
+                merged.withColumn("__bucket", bucket).repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
+        finally:
+            fresh.unpersist()
+        batches = old["batches"] | ({query: batch_id} if batch_id is not None else {})
+        self._commit(spark, number, {"of": self.buckets, "schema": fresh.schema.jsonValue(), "buckets": old["buckets"] | dict.fromkeys(touched, folder), "batches": batches})
 
 
 def write_all(df: DataFrame, sinks: list[Callable[[DataFrame], None]]) -> None:

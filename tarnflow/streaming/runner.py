@@ -55,7 +55,7 @@ def start(
     """
     writer = df.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(**(trigger or {"availableNow": True}))
     if table:
-        return writer.foreachBatch(lambda rows, number: table.write(rows, number)).start()
+        return writer.foreachBatch(lambda rows, number: table.write(rows, number, checkpoint)).start()
     if sinks:
         return writer.foreachBatch(lambda rows, number: write_all(rows, sinks)).start()
     if memory:

@@ -63,6 +63,62 @@ def test_keyed_table(spark, tmp_path):
     assert rows(sums.read(spark).select("id", "n")) == [(1, 15)]
 
 
+ENGINES = {"seq": "max", "n": "sum", "m": "count", "f": "first_value", "l": "last_value", "v": "listagg"}
+
+
+@pytest.mark.parametrize("engine", ["deduplicate", "first-row", "partial-update", "aggregation"])
+def test_keyed_table_in_steps_is_as_at_once(spark, tmp_path, engine):
+    """Any split and order of writes gives what one merge of all rows gives."""
+    import random
+
+    random.seed(5)
+    data = [(k, s, s if s % 3 else None, s if s % 2 else None, s, s, None if s % 4 == 1 else f"x{s}") for k in range(6) for s in range(9)]
+    random.shuffle(data)
+    columns = "id int, seq int, n int, m int, f int, l int, v string"
+    table = writers.KeyedTable(str(tmp_path / "t"), ["id"], ["seq"], engine, ENGINES, buckets=3)
+    for k in range(0, len(data), 11):
+        table.write(spark.createDataFrame(data[k : k + 11], columns))
+    wanted = cdc.merge(spark.createDataFrame(data, columns), ["id"], engine, ["seq"], ENGINES)
+    assert rows(table.read(spark).select(*wanted.columns)) == rows(wanted)
+
+
+def test_keyed_table_keeps_deletes_and_batches(spark, tmp_path):
+    table = writers.KeyedTable(str(tmp_path / "t"), ["id"], ["seq"])
+
+    def change(seq, v, op):
+        return spark.createDataFrame([(1, seq, v, op)], "id int, seq int, v string, __op string")
+
+    table.write(change(1, "a", "insert"))
+    table.write(change(2, "b", "update"), 0, "one")  # the first batch of a stream after a plain write counts
+    table.write(change(9, "no", "update"), 0, "one")  # but not again
+    assert rows(table.read(spark)) == [(1, 2, "b")]
+    table.write(change(5, "b", "delete"), 0, "two")
+    table.write(change(3, "late", "update"), 1, "one")
+    assert rows(table.read(spark)) == []
+    table.write(change(6, "back", "insert"), 1, "two")
+    assert rows(table.read(spark)) == [(1, 6, "back")]
+    table.write(change(6, "tie", "update"), 2, "two")
+    assert rows(table.read(spark)) == [(1, 6, "tie")]
+    table.write(change(7, "x", "update").limit(0), 3, "two")
+    assert rows(table.read(spark)) == [(1, 6, "tie")]
+    with pytest.raises(ValueError):
+        writers.KeyedTable(str(tmp_path / "t"), ["id"], ["seq"], buckets=5).write(change(8, "y", "update"))
+    sums = writers.KeyedTable(str(tmp_path / "s"), ["id"], ["seq"], "aggregation")
+    with pytest.raises(Exception, match="takes no deletes"):
+        sums.write(change(1, "a", "delete"))
+
+
+def test_keyed_table_rewrites_touched_buckets_and_expires_versions(spark, tmp_path):
+    table = writers.KeyedTable(str(tmp_path / "t"), ["id"], ["seq"], buckets=4)
+    table.write(spark.range(100).selectExpr("id", "0 AS seq", "'a' AS v"))
+    for k in range(1, 6):
+        table.write(spark.createDataFrame([(7, k, "b")], "id long, seq int, v string"))
+    first = next(d for d in (tmp_path / "t").iterdir() if d.name.startswith("v0-"))
+    assert len([d for d in first.iterdir() if d.name.startswith("__bucket")]) == 3  # the other three are still those of the first write
+    assert len([d for d in (tmp_path / "t").iterdir() if d.name.startswith("v")]) == 3
+    assert table.read(spark).where("seq = 5").count() == 1 and table.read(spark).count() == 100
+
+
 def test_files_with_partition_functions(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     writers.write_files(events, str(tmp_path / "out"), partition_by=["DATE(ts)", "HOUR(ts)", "event_type"], distribution="hash", rows_per_file=50)
