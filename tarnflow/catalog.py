@@ -617,15 +617,67 @@ def pattern_runs(spark, sf_dir):
     return found.withColumn("total", F.round("total", 5))
 
 
-@_query()
+@_query("""
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
+m AS (SELECT a.user_id, a.rn AS s, a.value AS low, min(c.rn) AS e, arg_min(c.value, c.rn) AS high FROM o a JOIN o c ON a.user_id = c.user_id AND c.rn >= a.rn + 2 AND c.value > a.value WHERE a.event_type = 'view' GROUP BY ALL),
+n AS (SELECT m.user_id, m.s, any_value(m.e) AS e, any_value(m.low) AS low, any_value(m.high) AS high, min(f.s) AS nxt FROM m LEFT JOIN m f ON f.user_id = m.user_id AND f.s > m.e GROUP BY m.user_id, m.s),
+w AS (SELECT * FROM n WHERE (user_id, s) IN (SELECT (user_id, min(s)) FROM m GROUP BY user_id) UNION ALL SELECT n.* FROM w JOIN n ON n.user_id = w.user_id AND n.s = w.nxt)
+SELECT user_id, low, high, (e - s - 1)::BIGINT AS between FROM w
+""")
 def pattern_related(spark, sf_dir):
-    """A condition that compares a row with one matched before; no SQL twin, see the tests."""
+    """A condition that compares a row with one matched before."""
     return pattern.match_rows(
-        _read(spark, sf_dir, "events"), ["user_id"], ["ts"], "A B+? C", {"A": "event_type = 'view'", "C": lambda row, bound: row["value"] > bound["A"][0]["value"]},
+        _read(spark, sf_dir, "events"), ["user_id"], ["ts"], "A B+? C", {"A": "event_type = 'view'", "C": "C.value > A.value"},
         {"low": ("FIRST(A.value)", "DOUBLE"), "high": ("LAST(C.value)", "DOUBLE"), "between": ("COUNT(B.*)", "BIGINT")},
     )
 
 
+@_query("""
+WITH o AS (SELECT *, row_number() OVER w AS rn, lag(event_type) OVER w AS before, lead(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS same FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+a AS (SELECT o.*, coalesce(t.rn, 1000000000) AS stop FROM o LEFT JOIN o t ON o.same = t.event_id WHERE o.value > 20),
+m AS (SELECT a.user_id, a.rn AS s, any_value(a.event_id) AS first_id, any_value(a.value) AS v, max(c.rn) AS e FROM a JOIN o c ON a.user_id = c.user_id AND c.rn BETWEEN a.rn + 2 AND a.stop AND c.value > 10 AND c.event_type <> c.before GROUP BY a.user_id, a.rn)
+SELECT m.user_id, first_id, arg_max(x.event_id, x.rn) AS last_id, round(sum(x.value), 5) AS total, count(*)::BIGINT AS n FROM m JOIN o x ON x.user_id = m.user_id AND x.rn BETWEEN m.s AND m.e GROUP BY m.user_id, m.s, first_id
+""")
+def pattern_changes(spark, sf_dir):
+    """Large values while the kind of event keeps changing; arithmetic over measures, search goes on at the next row."""
+    found = pattern.match_rows(
+        _read(spark, sf_dir, "events"), ["user_id"], ["ts"], "A B+ C",
+        {"A": "A.value > 20", "B": "B.event_type <> A.event_type", "C": "C.value > 10 AND C.event_type <> B.event_type"},
+        {"first_id": ("A.event_id", "BIGINT"), "last_id": ("C.event_id", "BIGINT"), "total": ("A.value + SUM(B.value) + C.value", "DOUBLE"), "n": ("COUNT(B.event_id) + 2", "BIGINT")},
+        after="next_row",
+    )
+    return found.withColumn("total", F.round("total", 5))
+
+
+@_query("""
+WITH o AS (SELECT *, lead(event_type) OVER w AS t2, lead(value) OVER w AS v2, lead(value, 2) OVER w AS v3, lead(event_id, 2) OVER w AS last_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+SELECT user_id, event_id AS first_id, last_id, round(v3 - value, 5) AS gain FROM o WHERE t2 <> event_type AND v2 < value AND v3 > value
+""")
+def pattern_rebound(spark, sf_dir):
+    """A fixed sequence whose conditions compare its rows."""
+    found = pattern.match_rows(
+        _read(spark, sf_dir, "events"), ["user_id"], ["ts"], "A B C",
+        {"B": "B.event_type <> A.event_type AND B.value < A.value", "C": "C.value > A.value"},
+        {"first_id": ("A.event_id", "BIGINT"), "last_id": ("C.event_id", "BIGINT"), "gain": ("LAST(C.value) - FIRST(A.value)", "DOUBLE")}, after="next_row",
+    )
+    return found.withColumn("gain", F.round("gain", 5))
+
+
+@_query("""
+WITH o AS (SELECT *, value > 5 AS high, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
+g AS (SELECT *, rn - row_number() OVER (PARTITION BY user_id ORDER BY ts) AS grp FROM o WHERE high),
+p AS (SELECT *, (row_number() OVER (PARTITION BY user_id, grp ORDER BY ts) - 1) // 3 AS piece FROM g)
+SELECT user_id, count(*)::BIGINT AS n, round(sum(value), 5) AS total, min(ts) AS first_ts, max(ts) AS last_ts FROM p GROUP BY user_id, grp, piece HAVING count(*) = 3
+""")
+def pattern_repeated(spark, sf_dir):
+    """A reluctant repetition: the shortest matches, one after the other."""
+    found = pattern.match_rows(
+        _read(spark, sf_dir, "events"), ["user_id"], ["ts"], "high{3,}?", {"high": "value > 5"},
+        {"n": ("COUNT(*)", "BIGINT"), "total": ("SUM(value)", "DOUBLE"), "first_ts": ("FIRST(ts)", "TIMESTAMP"), "last_ts": ("LAST(ts)", "TIMESTAMP")},
+    )
+    return found.withColumn("total", F.round("total", 5))
+
+
 # Whole pipelines
 
 

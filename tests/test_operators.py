@@ -165,3 +165,36 @@ def test_empty_inputs(spark):
     assert ranking.top_n(df, ["k"], {"v": "DESC"}, 3).count() == 0
     assert joins.as_of_join(df, df.select("k", F.col("ts").alias("vt")), "k", "ts", "vt").count() == 0
     assert pattern.match_rows(df, ["k"], ["ts"], "A", {}, {"n": ("COUNT(*)", "BIGINT")}).count() == 0
+
+
+def test_pattern_conditions_between_variables(spark):
+    """The fraud example: places that change after a large amount, matched by windows and by the matcher."""
+    data = [(1, 1, 2000, "x"), (1, 2, 10, "y"), (1, 3, 20, "z"), (1, 4, 600, "x"), (1, 5, 700, "q"), (1, 6, 5, "q"), (2, 1, 3000, "x"), (2, 2, None, "y"), (2, 3, 900, "x")]
+    df = spark.createDataFrame(data, "card int, t int, amount int, place string")
+    define = {"A": "A.amount > 1000", "B": "B.place <> A.place", "C": "C.amount > 500 AND C.place <> B.place"}
+    measures = {"first": ("A.t", "INT"), "last": ("C.t", "INT"), "total": ("A.amount + SUM(B.amount) + C.amount", "BIGINT"), "n": ("COUNT(B.t) + 2", "BIGINT"), "gap": ("LAST(C.amount) - FIRST(A.amount)", "INT")}
+    found = pattern.match_rows(df, ["card"], ["t"], "A B+ C", define, measures, after="next_row")
+    assert rows(found) == [(1, 1, 4, 2630, 4, -1400), (2, 1, 3, None, 3, -2100)]
+    fixed = pattern.match_rows(df, ["card"], ["t"], "A B{2} C", define, measures)
+    assert rows(fixed) == [(1, 1, 4, 2630, 4, -1400)]
+    summed = pattern.match_rows(df, ["card"], ["t"], "A B* C", {"A": "true", "B": "SUM(B.amount) <= 30 AND NOT B.place IS NULL", "C": "amount >= 600"}, {"a": ("A.t", "INT"), "n": ("COUNT(B.*)", "BIGINT")})
+    assert rows(summed) == [(1, 1, 2), (2, 2, 0)]
+    with pytest.raises(ValueError):
+        pattern.match_rows(df, ["card"], ["t"], "A B+", {"B": "B.place LIKE A.place"}, {"n": ("COUNT(*)", "BIGINT")})
+
+
+def test_pattern_windows_match_as_the_matcher(spark):
+    """Window plans against the matcher, which a function as condition calls for."""
+    import random
+
+    random.seed(3)
+    df = spark.createDataFrame([(k, t, random.randint(0, 3) or None) for k in range(8) for t in range(40)], "k int, t int, v int")
+    measures = {"a": ("FIRST(t)", "INT"), "z": ("LAST(t)", "INT"), "s": ("SUM(v)", "BIGINT"), "m": ("MAX(v)", "INT"), "c": ("COUNT(v)", "BIGINT"), "g": ("AVG(v)", "DOUBLE")}
+    define = {"A": "v >= 1", "B": "v >= 2"}
+    slow = {"A": lambda row, _: (row["v"] or 0) >= 1, "B": lambda row, _: (row["v"] or 0) >= 2}
+    for shape in ("A B A", "A{2} B", "A A", "A{2,}", "A{2,3}", "A{3,}?", "A+", "A?", "A{0,2}"):
+        for after in ("past_last", "next_row"):
+            fast = pattern.match_rows(df, ["k"], ["t"], shape, define, measures, after)
+            assert rows(fast) == rows(pattern.match_rows(df, ["k"], ["t"], shape, slow, measures, after)), (shape, after)
+    plan = pattern.match_rows(df, ["k"], ["t"], "A B A", define, measures)._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and plan.count("Exchange") == 1
