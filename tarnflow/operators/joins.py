@@ -15,10 +15,32 @@ _PART = r"(?:(?:`[^`]+`|\w+)\.)?(?:`([^`]+)`|(\w+))"
 _EQUAL = re.compile(rf"\s*\(?\s*{_PART}\s*=\s*{_PART}\s*\)?\s*")
 
 
+_WORD = re.compile(r"'(?:[^']|'')*'|`[^`]*`|[()]|\b(?:AND|BETWEEN|CASE|END)\b", re.I)
+
+
+def conjuncts(condition: str) -> list[str]:
+    """The parts that AND joins at the top: not in brackets, quotes, CASE or after BETWEEN."""
+    parts, begin, depth, between = [], 0, 0, 0
+    for found in _WORD.finditer(condition):
+        word = found[0].upper()
+        if word in ("(", "CASE"):
+            depth += 1
+        elif word in (")", "END"):
+            depth -= 1
+        elif word == "BETWEEN" and not depth:
+            between += 1
+        elif word == "AND" and not depth and between:
+            between -= 1
+        elif word == "AND" and not depth:
+            parts.append(condition[begin : found.start()])
+            begin = found.end()
+    return [*parts, condition[begin:]]
+
+
 def shared_keys(on: str) -> list[str]:
     """Columns that a condition of the form ``a.k = b.k AND ...`` equates under one name."""
     keys = []
-    for part in re.split(r"\bAND\b", on, flags=re.I):
+    for part in conjuncts(on):
         if re.fullmatch(r"\s*(?:`[^`]+`|\w+)\s*", part):
             keys.append(part.strip().strip("`"))
             continue
@@ -34,7 +56,7 @@ def shared_keys(on: str) -> list[str]:
 def _condition(on: str, left: str, right: str) -> str:
     """Bare names, alone or on both sides of an equation, are taken from both inputs."""
     parts = []
-    for part in re.split(r"\bAND\b", on, flags=re.I):
+    for part in conjuncts(on):
         bare = re.fullmatch(r"\s*(?:`([^`]+)`|(\w+))\s*(?:=\s*(?:`([^`]+)`|(\w+))\s*)?", part)
         if bare:
             a = bare[1] or bare[2]
@@ -67,10 +89,14 @@ def join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", left_na
     return joined.select(*[F.col(f"{left_name}.{quote(c)}") for c in left.columns], *kept)
 
 
-def broadcast_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", limit_rows: int = 1_000_000, **names: str) -> DataFrame:
-    """Join with the right side sent to all tasks if it has at most ``limit_rows`` rows, else as Spark plans it."""
-    small = right.limit(limit_rows + 1).count() <= limit_rows if not right.isStreaming else False
-    return join(left, right, on, how, broadcast="right" if small else None, **names)
+def broadcast_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", limit_bytes: int = 64 << 20, **names: str) -> DataFrame:
+    """Join with the right side sent to all tasks if Spark's statistics bound it by ``limit_bytes``, else as Spark plans it.
+
+    The statistics come from files and catalog without running anything; where there are none they
+    count as unbounded, and adaptive execution may still broadcast what turns out small.
+    """
+    size = int(str(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return join(left, right, on, how, broadcast="right" if size <= limit_bytes else None, **names)
 
 
 def lookup_join(df: DataFrame, dimension: DataFrame, on: str, select: dict[str, str] | None = None, with_proc_time: bool = True) -> DataFrame:

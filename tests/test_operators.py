@@ -66,7 +66,7 @@ def test_interval_join_bounds_are_inclusive(spark):
 
 def test_broadcast_only_when_small(spark):
     left, right = spark.range(100).toDF("k"), spark.range(50).toDF("k")
-    assert joins.broadcast_join(left, right, "l.k = r.k", limit_rows=10).count() == 50
+    assert joins.broadcast_join(left, right, "l.k = r.k", limit_bytes=10).count() == 50
     assert joins.broadcast_join(left, right, "l.k = r.k").count() == 50
 
 
@@ -198,3 +198,18 @@ def test_pattern_windows_match_as_the_matcher(spark):
             assert rows(fast) == rows(pattern.match_rows(df, ["k"], ["t"], shape, slow, measures, after)), (shape, after)
     plan = pattern.match_rows(df, ["k"], ["t"], "A B A", define, measures)._jdf.queryExecution().executedPlan().toString()
     assert "Pandas" not in plan and plan.count("Exchange") == 1
+
+
+def test_join_conditions_are_split_at_the_top_only(spark):
+    assert joins.conjuncts("l.a = r.a AND l.t BETWEEN r.lo AND hi AND (x = 1 AND y = 2)") == ["l.a = r.a ", " l.t BETWEEN r.lo AND hi ", " (x = 1 AND y = 2)"]
+    assert joins.conjuncts("a = ' AND ' AND CASE WHEN p AND q THEN 1 END = 1 and b") == ["a = ' AND ' ", " CASE WHEN p AND q THEN 1 END = 1 ", " b"]
+    left = spark.createDataFrame([(1, 5), (1, 50), (2, 5)], "k int, t int")
+    right = spark.createDataFrame([(1, 0, 9), (2, 6, 9)], "k int, lo int, hi int")
+    assert rows(joins.join(left, right, "l.k = r.k AND l.t BETWEEN r.lo AND hi")) == [(1, 5, 1, 0, 9)]
+
+
+def test_broadcast_join_goes_by_size(spark, sf_dir):
+    orders, customer = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "customer"))
+    for limit, hinted in ((64 << 20, True), (10, False)):
+        df = joins.broadcast_join(orders, customer, "l.o_custkey = r.c_custkey", limit_bytes=limit)
+        assert ("rightHint=(strategy=broadcast)" in df._jdf.queryExecution().analyzed().toString() or "strategy=broadcast" in df._jdf.queryExecution().optimizedPlan().toString()) == hinted
