@@ -1,10 +1,10 @@
 """Near-duplicate embeddings by counting collisions on many one-dimensional projections.
 
-Unit vectors are projected on seeded random directions. Two vectors collide on a
-direction if one lies in the window around the other; similar vectors collide on most,
-others on few. The count that a pair must reach follows from the collision probability at
-the similarity asked for and the recall wanted. Pairs that reach it are verified in double
-precision, so no link is ever wrong.
+Unit vectors are projected on seeded random directions and sorted on each. Two vectors
+collide on a direction if one stands in the run of places that the window around the other
+covers; similar vectors collide on most, others on few. The count that a pair must reach
+follows from the collision probability at the similarity asked for and the recall wanted.
+Pairs that reach it are verified in double precision, so no link is ever wrong.
 
 The projections that are sorted first, the anchors, keep most pairs from being counted at
 all: each cuts the line in two, a vector is filed under the sides it lies on, and looks
@@ -78,16 +78,16 @@ def reach(anchors: int, cosine: float = THRESHOLD) -> float:
     return max(REACH, high)
 
 
+@lru_cache(maxsize=16)
 def directions(dim: int, anchors: int) -> np.ndarray:
     """Seeded directions (dim, anchors + COUNTED); Gaussian, so that the unit vectors' projections have deviation about 1."""
     return np.random.default_rng([SEED, dim]).normal(size=(dim, MOST_ANCHORS + COUNTED))[:, [*range(anchors), *range(MOST_ANCHORS, MOST_ANCHORS + COUNTED)]]
 
 
-def unit(values: bytes) -> np.ndarray | None:
-    """The unit vector of stored doubles, None if there is none."""
+def unit(values: bytes) -> np.ndarray:
+    """The unit vector of stored doubles."""
     vector = np.frombuffer(values, np.float64)
-    norm = float(np.sqrt(vector @ vector))
-    return vector / norm if norm > 0 and math.isfinite(norm) else None
+    return vector / np.sqrt(vector @ vector)
 
 
 def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -97,14 +97,15 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            vectors = batch.column("vector")
+            flat, ends = vectors.values, vectors.offsets.to_numpy()
+            parts = flat.to_numpy(zero_copy_only=False) + 0.0  # null components become NaN, -0 becomes 0
             out = []
-            for item in batch.column("vector"):
-                parts = item.as_py()
-                good = bool(parts) and all(v is not None and math.isfinite(v) for v in parts) and any(parts)
-                vector = np.array(parts, np.float64) + 0.0 if good else None
-                if good:
-                    vector /= np.abs(vector).max()  # keeps squares from overflowing or vanishing
-                out.append(vector.tobytes() if good else None)
+            for begin, end, there in zip(ends[:-1].tolist(), ends[1:].tolist(), vectors.is_valid().to_pylist(), strict=True):
+                vector = parts[begin:end] if there else parts[:0]
+                most = np.abs(vector).max(initial=0.0)  # NaN if a component is
+                # Dividing by the largest component keeps squares from overflowing or vanishing.
+                out.append((vector / most).tobytes() if 0 < most < math.inf else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], names=["vec_id", "values"])
 
     return map_batches(narrow, run, f"vec_id {kind}, values binary")
@@ -147,20 +148,34 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, names: np.ndarray) -> np.ndarra
             return label
 
 
+def windows(index: np.ndarray, query: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Collisions on one projection by place in its sorted order.
+
+    Gives the place of every index vector, and for every query the first place and the
+    number of places that its window covers.
+    """
+    order = np.argsort(index, kind="stable")
+    place = np.empty(len(order), np.uint16)
+    place[order] = np.arange(len(order), dtype=np.uint16)
+    first, beyond = np.searchsorted(index[order], query - half, "left"), np.searchsorted(index[order], query + half, "right")
+    return place, first.astype(np.uint16), (beyond - first).astype(np.uint16)
+
+
 def compare(index: pd.DataFrame, query: pd.DataFrame, anchors: int, width: float, threshold: float) -> pd.DataFrame:
     """Links between two blocks of a cell: ``class_id, links, root`` of every vector that has one."""
     need = required_count(threshold)
     x, q = (np.stack([unit(v) for v in side["values"]]) for side in (index, query))
     ways = directions(x.shape[1], anchors)
     px, pq = x @ ways, q @ ways
-    cx, cq = (np.ascontiguousarray(p[:, anchors:].T.astype(np.float32)) for p in (px, pq))
+    runs = [windows(px[:, j], pq[:, j], WINDOW) for j in range(anchors, anchors + COUNTED)]
     names_x, names_q = index["class_id"].to_numpy(), query["class_id"].to_numpy()
     left, right = [], []
     for a in range(0, len(q), TILE):
         for b in range(0, len(x), TILE):
             count = np.zeros((min(TILE, len(q) - a), min(TILE, len(x) - b)), np.uint8)
-            for j in range(COUNTED):
-                count += np.abs(cq[j, a : a + TILE, None] - cx[j, None, b : b + TILE]) <= WINDOW
+            for place, first, covered in runs:
+                # Unsigned, so places before the first wrap around and lie outside too.
+                count += (place[None, b : b + TILE] - first[a : a + TILE, None]) < covered[a : a + TILE, None]
             i, k = np.nonzero(count >= need)
             i, k = i + a, k + b
             cosine = np.einsum("ij,ij->i", q[i], x[k])
