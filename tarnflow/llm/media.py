@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.common import map_batches, materialize, table
@@ -188,23 +188,38 @@ def reassemble(resolved: DataFrame, id_col: str) -> DataFrame:
     return packed
 
 
+def page_of(text: Column) -> Column:
+    """A text as a page: its paragraphs as blocks, after the first of them the reference to its payload."""
+    content = F.coalesce(text, F.lit(""))
+    n_bytes = F.octet_length(content)
+    short = F.pmod(-n_bytes, F.lit(BLOCK)) + F.when(n_bytes == 0, BLOCK).otherwise(0)
+    digest = F.sha2(F.concat(F.encode(content, "utf-8"), F.unhex(F.repeat(F.lit("00"), short))), 256)
+    figure = F.concat(F.lit(f'<figure><img src="{SCHEME}'), digest, F.lit('" alt="'), n_bytes.cast("string"), F.lit('"></figure>'))
+    shown = F.replace(F.replace(F.replace(content, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    # The first mark is a paragraph's end with the figure behind it, later ones are ends alone.
+    first = F.regexp_instr(shown, F.lit("\n\n"))
+    cut = F.when(first > 0, first - 1).otherwise(F.char_length(shown)).cast("int")
+    rest = F.replace(F.substring(shown, cut + 1, F.char_length(shown)), F.lit("\n\n"), F.lit("</p><p>"))
+    return F.concat(F.lit("<article><p>"), F.substring(shown, F.lit(1), cut), F.lit("</p>"), figure, F.lit("<p>"), rest, F.lit("</p></article>"))
+
+
 def op10(spark, sf_dir):
     """Stores the payloads of all ``documents`` and reads them back through media references.
 
-    Every document becomes a small page that names its payload by digest between a heading
-    and a caption; the page is parsed, its reference resolved, and the figures returned.
+    Every document becomes a page of its own paragraphs, with a reference to its payload
+    after the first and its number of bytes as caption. Pages are parsed into sequences,
+    references are resolved by digest, and the figures returned with ``media_pos``, the
+    reference's place, and ``n_texts``, the number of texts around it.
     Null text is stored as empty; repeated documents give a row each.
     """
-    stored = store_payloads(table(spark, sf_dir, "documents"))
-    page = F.concat(
-        F.lit("<article><h1>payload</h1><figure><img src=\""),
-        F.concat(F.lit(SCHEME), F.col("digest")),
-        F.lit("\" alt=\""),
-        F.col("n_bytes").cast("string"),
-        F.lit("\"><figcaption>bytes</figcaption></figure></article>"),
-    )
-    sequences = interleave(stored.select("doc_id", page.alias("html")), "doc_id", "html")
-    resolved = resolve(sequences, "doc_id", read_payloads(stored)).where("kind = 'media'")
+    documents = table(spark, sf_dir, "documents")
+    pages = documents.select("doc_id", page_of(F.col("text")).alias("html"))
+    sequences = interleave(pages, "doc_id", "html")
+    media = F.filter("sequence", lambda item: item["kind"] == "media")
+    # Texts stay behind: only references are joined.
+    references = sequences.select(F.struct("doc_id", (F.size("sequence") - F.size(media)).cast("long").alias("n_texts")).alias("of"), media.alias("sequence"))
+    resolved = resolve(references, "of", read_payloads(store_payloads(documents)))
     return resolved.select(
-        "doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
-    )
+        "of.doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+        F.col("pos").cast("long").alias("media_pos"), "of.n_texts",
+    )
