@@ -22,6 +22,8 @@ from tarnflow.llm.common import map_batches, table
 UNDETERMINED = "und"
 #: Documents of the training sample (split evenly over the languages) and windows of each.
 SAMPLE_DOCUMENTS = 3000
+#: Languages that a network can tell apart: the most frequent ones, ties by name.
+MOST_LANGUAGES = 500
 WINDOWS = 3
 WINDOW_CHARS = 80
 #: Network and training.
@@ -208,7 +210,7 @@ class Labeler:
             steps = int(lengths[some[0]])
             at = starts[some][None, :] + np.arange(steps)[:, None]
             real = np.arange(steps)[:, None] < lengths[some][None, :]
-            data = np.where(real, joined[np.minimum(at, len(joined) - 1)], PAD).astype(np.intp)
+            data = np.where(real, joined[np.minimum(at, len(joined) - 1)].astype(np.intp), PAD)
             share = self.label(data)
             share *= real[:, None, :]
             np.add.at(total, owner[some], share.sum(0).T)
@@ -220,10 +222,11 @@ def training_sample(documents: DataFrame, id_col: str, text_col: str, label_col:
 
     Languages are counted over all rows; each gives about the same number of
     documents, chosen by a hash of the id, and each document windows at hashed places
-    of its whole text.
+    of its whole text. Of more than MOST_LANGUAGES labels the most frequent are learned.
     """
     labelled = documents.where(F.col(label_col).isNotNull() & (F.length(text_col) > 0))
-    counts = {r[0]: r[1] for r in labelled.groupBy(label_col).count().collect()}
+    frequent = labelled.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("times")).orderBy(F.desc("times"), "label").limit(MOST_LANGUAGES)
+    counts = {r["label"]: r["times"] for r in frequent.collect()}
     languages = sorted(counts)
     if not languages:
         return [], [], []

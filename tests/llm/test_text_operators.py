@@ -281,6 +281,44 @@ def test_language_edges(edges, empty):
     assert langid.identify(empty).count() == 0
 
 
+def trained():
+    rng = np.random.default_rng(3)
+    return langid.train_network([bytes(rng.choice(list(alphabet), 50)) for alphabet in (b"abcde ", b"defgh ") for _ in range(40)], [0] * 40 + [1] * 40, ["aa", "bb"], hidden=4, steps=25)
+
+
+def test_pool_equals_plain_network():
+    """Pieces of all lengths side by side: each as its own run of the training network gives it, alone or in company."""
+    network, rng = trained(), np.random.default_rng(4)
+    labeler = langid.Labeler(network)
+    texts = [bytes(rng.integers(97, 105, n).astype(np.uint8)) for n in (0, 1, 2, 255, 256, 257, 300, 700, 5, 90)] + [bytes(3), b"\xff\x00a"]
+
+    def plain(text):
+        total = np.zeros(2)
+        for k in range(0, len(text), langid.SPAN):
+            data = np.frombuffer(text[k : k + langid.SPAN], np.uint8).astype(np.intp)[:, None]
+            states = np.concatenate([langid._forward(way, data, order)[0] for way, order in zip(network.ways, (range(len(data)), range(len(data) - 1, -1, -1)), strict=True)], 1)
+            share = np.exp(network.output @ states + network.bias)
+            total += (share / share.sum(1, keepdims=True)).sum((0, 2))
+        return total / max(1, len(text))
+
+    together = labeler.pool(texts)
+    assert np.abs(together - np.stack([plain(t) for t in texts])).max() < 1e-5
+    assert np.abs(together - np.concatenate([labeler.pool([t]) for t in texts])).max() < 1e-6
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    first, second = ({r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, trained()).collect()} for df in (docs, docs.repartition(13)))
+    assert {i: p for i, (p, _) in first.items()} == {i: p for i, (p, _) in second.items()}
+    assert max(abs(first[i][1] - second[i][1]) for i in first) < 1e-6
+
+
+def test_most_languages(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k}", "abc"[min(2, k // 4)]) for k in range(9)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    assert langid.training_sample(docs, "doc_id", "text", "lang", 100)[2] == ["a", "b"]
+
+
 # Pages
 
 PAGE = "<html><head><title>no</title><style>p{}</style></head><body><nav><ul><li><a href=/a>menu</a></ul></nav><div class='ad'>buy</div><article><h1>Head &amp; more</h1><p>one  two<br>three <b>four</b><p>five</p><div class='comments'><p>me too</p></div></article><footer>&copy; x</footer>"
