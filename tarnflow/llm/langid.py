@@ -151,12 +151,13 @@ class Labeler:
     def __init__(self, network: Network) -> None:
         h = self.hidden = network.ways[0].recurrent.shape[1]
         self.network = network
-        scale = np.ones((3 * h, 1), np.float32)
-        scale[: 2 * h] = 0.5  # sigmoid(x) = (tanh(x / 2) + 1) / 2
+        # Exponentials are all that a step needs: sigmoid(x) = 1 / (1 + exp(-x)), tanh(x) = 1 - 2 / (1 + exp(2 x)).
+        scale = np.full((3 * h, 1), 2, np.float32)
+        scale[: 2 * h] = -1
         self.ways = []
         for way in network.ways:
             inputs = way.inputs * scale
-            inputs[:h, PAD] = 30.0  # padding keeps the state as it is
+            inputs[:h, PAD] = -60.0  # padding keeps the state as it is
             self.ways.append((np.ascontiguousarray(inputs), np.ascontiguousarray(way.recurrent * scale)))
 
     def states(self, data: np.ndarray) -> np.ndarray:
@@ -164,23 +165,28 @@ class Labeler:
         h_size, (steps, side) = self.hidden, data.shape
         out = np.empty((steps, 2 * h_size, side), np.float32)
         x, a, d = (np.empty((n * h_size, side), np.float32) for n in (3, 3, 1))
-        for way, (inputs, recurrent) in enumerate(self.ways):
-            h = np.zeros((h_size, side), np.float32)
-            for t in range(steps) if way == 0 else range(steps - 1, -1, -1):
-                np.take(inputs, data[t], axis=1, out=x, mode="clip")
-                np.dot(recurrent, h, out=a)
-                gates, n, q = x[: 2 * h_size], x[2 * h_size :], a[2 * h_size :]
-                gates += a[: 2 * h_size]
-                np.tanh(gates, out=gates)
-                gates *= 0.5
-                gates += 0.5
-                q *= gates[h_size:]
-                n += q
-                np.tanh(n, out=n)
-                np.subtract(h, n, out=d)
-                d *= gates[:h_size]
-                h = out[t, way * h_size : (way + 1) * h_size]
-                np.add(n, d, out=h)
+        gates, n, q = x[: 2 * h_size], x[2 * h_size :], a[2 * h_size :]
+        z, r, one, two = gates[:h_size], gates[h_size:], np.float32(1), np.float32(2)
+        with np.errstate(over="ignore"):  # exp reaches infinity where a gate is shut
+            for way, (inputs, recurrent) in enumerate(self.ways):
+                h = np.zeros((h_size, side), np.float32)
+                for t in range(steps) if way == 0 else range(steps - 1, -1, -1):
+                    np.take(inputs, data[t], axis=1, out=x, mode="clip")
+                    np.dot(recurrent, h, out=a)
+                    gates += a[: 2 * h_size]
+                    np.exp(gates, out=gates)
+                    gates += one
+                    np.divide(one, gates, out=gates)
+                    q *= r
+                    n += q
+                    np.exp(n, out=n)
+                    n += one
+                    np.divide(two, n, out=n)
+                    np.subtract(one, n, out=n)
+                    np.subtract(h, n, out=d)
+                    d *= z
+                    h = out[t, way * h_size : (way + 1) * h_size]
+                    np.add(n, d, out=h)
         return out
 
     def label(self, data: np.ndarray) -> np.ndarray:
