@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnflow.llm import bpe_tree, embeddings, html_main, jaccard, langid, licenses, media, mixing, pii, token_files
+from tarnflow.llm import alignment, bpe_tree, embeddings, html_main, jaccard, langid, licenses, media, mixing, pii, token_files
 
 QUERIES = {
     "op1_pii_spans": pii.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": licenses.op8,
     "op9_html_main_text": html_main.op9,
     "op10_media_columns": media.op10,
+    "op13_tokenizer_alignment": alignment.op13,
 }
 
 SQL = {
