@@ -64,9 +64,13 @@ def group_sums(vectors: DataFrame) -> DataFrame:
 
 
 def keep_frequent(sums: DataFrame, min_df: int) -> DataFrame:
-    """``lang, source, term, count, lang_count`` of the terms that enough documents of their language have."""
-    totals = sums.groupBy("lang", "term").agg(F.sum("df").alias("lang_df"), F.sum("count").alias("lang_count")).where(F.col("lang_df") >= min_df)
-    return sums.join(totals, ["lang", "term"]).select("lang", "source", "term", "count", "lang_count")
+    """``lang, source, term, count, lang_count`` of the terms that enough documents of their language have.
+
+    A term's groups meet in one row, one for each source at most.
+    """
+    of_term = {"held": F.collect_list(F.struct("source", "count")), "lang_df": F.sum("df"), "lang_count": F.sum("count")}
+    terms = sums.groupBy("lang", "term").agg(*[f.alias(name) for name, f in of_term.items()]).where(F.col("lang_df") >= min_df)
+    return terms.select("lang", F.inline("held").alias("source", "count"), "term", "lang_count").select("lang", "source", "term", "count", "lang_count")
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
