@@ -38,7 +38,7 @@ LONGEST = 200
 #: Pairs of ids (16 bytes each) that may be broadcast; more are joined.
 BROADCAST_PAIRS = 1 << 19
 #: Chunks that are encoded in one go.
-TOGETHER = 4096
+TOGETHER = 1024
 #: Links of a group from which its ids are counted before they are paired.
 MANY_LINKS = 1 << 12
 #: Ids of the second tokenizer in a pair's number ``first * PAIR + second``.
@@ -136,12 +136,12 @@ class Aligner:
             texts.append("".join(chunks[at : at + n]))
             counts.append(n)
             at += n
-        if kind == 0:
-            found = [e.ids for e in self.first.encode_batch_fast(texts, add_special_tokens=False)]
-        else:
-            found = self.second.encode([t[1:] for t in texts], num_threads=1)
         ids, lengths, good, at = [], [], [], 0
-        for text, n, own in zip(texts, counts, found, strict=True):
+        for text, n in zip(texts, counts, strict=True):
+            if kind == 0:
+                own = self.first.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            else:
+                own = self.second.encode([text[1:]], num_threads=1)[0]
             own = np.array(own, np.int64)
             if b"".join(map(table.__getitem__, own.tolist())) == text.encode():
                 bounds = np.cumsum([len(c.encode()) for c in chunks[at : at + n]])
