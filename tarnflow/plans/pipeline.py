@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnflow.functions.types import to_interval, to_milliseconds
 from tarnflow.operators import aggregate, joins, pattern, project, ranking, relations, routing
+from tarnflow.sources.lakehouse import TableSpec, problems, table_sink
 
 #: Steps by name: kind (source, transform, sink) and function. Plugins add to it.
 OPERATORS: dict[str, Callable[..., DataFrame]] = {
@@ -92,6 +93,10 @@ class Stream:
         """End in a sink; ``kind`` and ``options`` are what the checks look at."""
         return self.pipeline._add("sink", kind, (self.id,), options, name, write)
 
+    def into(self, spec: TableSpec, mode: str = "append", sequence: list[str] | None = None, checkpoint: str | None = None, name: str | None = None) -> Stream:
+        """End in a table of a catalog; streams need a checkpoint folder."""
+        return self.sink(table_sink(spec, mode, sequence, checkpoint), spec.kind, name or spec.table, spec=spec)
+
     def dataframe(self) -> DataFrame:
         return self.pipeline.compile(self.id)
 
@@ -286,6 +291,9 @@ class Pipeline:
         return found
 
     def _check_sink(self, step: Step) -> list[Finding]:
+        if "spec" in step.options:
+            changes = self.changelog(step.inputs[0]).mode if self.options["mode"] == "streaming" else "append-only"
+            return [Finding(level, step.id, message) for level, message in problems(step.options["spec"], changes, self.options["parallelism"])]
         rules, options = SINK_RULES.get(step.operator, {}), step.options
         found = [Finding("error", step.id, f"{step.operator} needs {n}") for n in rules.get("required", ()) if not options.get(n)]
         for name, values in rules.get("values", {}).items():

@@ -78,7 +78,7 @@ def write_jdbc(df: DataFrame, url: str, table: str, key: list[str] | None = None
     if not key:
         df.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
         return
-    stage = staging or f"{table}_staging"
+    stage = staging or f"{table}_{uuid.uuid4().hex[:12]}"
     df.write.format("jdbc").options(url=url, dbtable=stage, **options).mode("overwrite").save()
     if run is None:
         raise ValueError("an upsert needs a way to run statements")
