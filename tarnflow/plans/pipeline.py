@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnflow.functions.types import to_interval, to_milliseconds
+from tarnflow.functions.types import Watermark, to_interval, to_milliseconds
 from tarnflow.operators import aggregate, joins, pattern, project, ranking, relations, routing
 from tarnflow.sources.lakehouse import TableSpec, problems, table_sink
 
@@ -30,9 +30,26 @@ OPERATORS: dict[str, Callable[..., DataFrame]] = {
     "side_main": lambda df, **p: routing.side_output(df, **p)[0], "side_rows": lambda df, **p: routing.side_output(df, **p)[1],
     "valid": lambda df, **p: routing.validate(df, **p)[0], "rejected": lambda df, **p: routing.validate(df, **p)[1],
 }
+
+
+def _top_n_stream(df: DataFrame, ttl: str | None, partition_by: list[str], order_by: dict[str, str], n: int, keep_rank: bool = True) -> DataFrame:
+    from tarnflow.streaming.stateful import top_n_stream
+
+    found = top_n_stream(df, partition_by, [(c, d.upper() == "DESC") for c, d in order_by.items()], n, ttl)
+    return found if keep_rank else found.drop("rownum")
+
+
+def _match_stream(df: DataFrame, ttl: str | None, partition_by: list[str], pattern: str, define: dict[str, str], measures: dict, within: str | int, watermark: Watermark, order_by: list[str] | None = None) -> DataFrame:
+    from tarnflow.streaming.stateful import match_stream
+
+    return match_stream(df, partition_by, watermark, pattern, define, measures, within, ttl)
+
+
+#: Steps that need state on a stream, which ``state_ttl`` bounds.
+ON_STREAMS = {"top_n": _top_n_stream, "match_rows": _match_stream}
 #: What a step does to a stream of changes: keep, make, or reduce it.
 KEEPS = frozenset("filter map flat_map rename drop cast coalesce add_field top_n window_columns qualify query sort_limit side_main side_rows valid rejected lookup_join lateral_join as_of_join tumble_windows session_windows branch view".split())
-RETRACTING_SINKS = frozenset({"jdbc_upsert", "keyed_table", "paimon", "iceberg", "upsert_topic"})
+RETRACTING_SINKS = frozenset({"update_batches", "jdbc_upsert", "keyed_table", "paimon", "iceberg", "upsert_topic"})
 
 
 @dataclass(frozen=True)
@@ -97,6 +114,20 @@ class Stream:
         """End in a table of a catalog; streams need a checkpoint folder."""
         return self.sink(table_sink(spec, mode, sequence, checkpoint), spec.kind, name or spec.table, spec=spec)
 
+    def stream_to(self, name: str | None = None, available_now: bool = False, **target) -> Stream:
+        """End in a streaming query that the pipeline starts: into ``path``, ``memory``, ``table`` (a keyed table) or ``sinks``.
+
+        Its checkpoint, trigger, output mode, state store and restarts follow the pipeline's options.
+        """
+        flow = self.pipeline
+
+        def write(df: DataFrame) -> object:
+            return flow.start_query(df, sink.id, available_now, target)
+
+        kind = "keyed_table" if target.get("table") else "update_batches" if target.get("sinks") or target.get("memory") else "files"
+        sink = self.sink(write, kind, name or kind, **({"key": target["table"].key, "sequence": target["table"].sequence} if target.get("table") else {}))
+        return sink
+
     def dataframe(self) -> DataFrame:
         return self.pipeline.compile(self.id)
 
@@ -118,8 +149,9 @@ class Pipeline:
     """A named DAG with run options.
 
     ``mode`` is batch or streaming; ``parallelism`` sets shuffle partitions, ``checkpoint`` the
-    trigger interval, ``state_backend`` (``hashmap`` or ``rocksdb``) the state store, ``state_ttl`` the
-    bound for stateful operators that ask for it, ``restart`` how often a failed query
+    trigger interval, ``checkpoint_path`` the folder under which each stream keeps its checkpoint,
+    ``state_backend`` (``hashmap`` or ``rocksdb``) the state store, ``state_ttl`` how long top-N and patterns
+    on streams remember rows, ``restart`` how often a failed query
     starts again, and ``conf`` anything else. Options given here win over ``environment``, those over ``project``.
     """
 
@@ -158,6 +190,23 @@ class Pipeline:
         """Arguments of ``writeStream.trigger``."""
         return {"processingTime": to_interval(self.options["checkpoint"])} if self.options["checkpoint"] else {"processingTime": "0 seconds"}
 
+    def start_query(self, df: DataFrame, sink: str, available_now: bool, target: dict) -> object:
+        """Start a query with the pipeline's options; with ``restart`` it is supervised while it is awaited."""
+        from tarnflow.streaming import runner
+
+        if not self.options["checkpoint_path"]:
+            raise ValueError("streams need checkpoint_path")
+        if available_now and self.options["state_ttl"] and any(self.steps[i].operator == "top_n" for i in self._upstream(sink)):
+            raise ValueError("a top-N with state_ttl watches the clock and does not end; start it without available_now")
+        folder = f"{self.options['checkpoint_path'].rstrip('/')}/{self.name}/{sink}"
+        mode = runner.output_mode(self.changelog(self.steps[sink].inputs[0]), False)
+        trigger = {"availableNow": True} if available_now else self.trigger()
+
+        def make() -> object:
+            return runner.start(df, folder, mode, trigger=trigger, options=self.spark_conf(), **target)
+
+        return runner.Supervised(make, self.options["restart"]) if self.options["restart"] else make()
+
     def _add(self, kind: str, operator: str, inputs: tuple[str, ...], options: dict, name: str | None, run: Callable | None = None) -> Stream:
         base = "".join(c if c.isalnum() else "_" for c in (name or operator))
         step_id, n = base, 2
@@ -186,6 +235,8 @@ class Pipeline:
                 made = relations.view(inputs[0], step.options["name"])
             elif step.kind == "sink":
                 made = inputs[0]
+            elif step.operator in ON_STREAMS and inputs[0].isStreaming:
+                made = ON_STREAMS[step.operator](inputs[0], self.options["state_ttl"], **step.options)
             else:
                 made = self.operators[step.operator](*inputs, **step.options)
             for plugin in self.plugins:
@@ -244,6 +295,8 @@ class Pipeline:
             return Changelog("retract", (*step.options.get("group_by", ()), "window_start", "window_end"))
         if step.operator == "deduplicate":
             return Changelog("append-only", tuple(step.options.get("key", ())))
+        if step.operator == "top_n" and self.options["mode"] == "streaming":
+            return Changelog("retract", (*step.options.get("partition_by", ()), "rownum"))
         if step.operator in ("join", "broadcast_join", "interval_join"):
             shared = tuple(joins.shared_keys(step.options.get("on", "")))
             if step.options.get("how") in ("semi", "anti"):

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +38,23 @@ def distinct_count(column: str) -> F.Column:
     return F.size(F.collect_set(column)).cast("long")
 
 
+#: The state store that keeps typed state; hash maps in memory do not.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+@contextmanager
+def session_options(spark: SparkSession, options: dict[str, str]) -> Iterator[None]:
+    """Options for what starts inside; a query keeps those it was started with."""
+    before = {k: spark.conf.get(k, None) for k in options}
+    for key, value in options.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def start(
     df: DataFrame,
     checkpoint: str,
@@ -47,61 +64,52 @@ def start(
     path: str | None = None,
     memory: str | None = None,
     trigger: dict | None = None,
+    options: dict[str, str] | None = None,
 ):
     """Start a query into files, a keyed table, several sinks at once, or memory.
 
     Keyed tables and sinks get micro-batches with their number, so a batch that is repeated after
-    a failure counts once in a keyed table.
+    a failure counts once in a keyed table. State is kept in RocksDB unless ``options`` name another store.
     """
     writer = df.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(**(trigger or {"availableNow": True}))
     if table:
-        return writer.foreachBatch(lambda rows, number: table.write(rows, number, checkpoint)).start()
-    if sinks:
-        return writer.foreachBatch(lambda rows, number: write_all(rows, sinks)).start()
-    if memory:
-        return writer.format("memory").queryName(memory).start()
-    return writer.format("parquet").start(path)
+        writer = writer.foreachBatch(lambda rows, number: table.write(rows, number, checkpoint))
+    elif sinks:
+        writer = writer.foreachBatch(lambda rows, number: write_all(rows, sinks))
+    elif memory:
+        writer = writer.format("memory").queryName(memory)
+    else:
+        writer = writer.format("parquet").option("path", path)
+    with session_options(df.sparkSession, ROCKSDB | (options or {})):
+        return writer.start()
+
+
+class Supervised:
+    """A query that starts again from its checkpoint when it fails, a bounded number of times."""
+
+    def __init__(self, make: Callable[[], object], attempts: int = 3, wait_s: float = 1.0) -> None:
+        self.make, self.left, self.wait_s = make, attempts, wait_s
+        self.query = make()
+
+    def awaitTermination(self) -> None:
+        while True:
+            try:
+                self.query.awaitTermination()
+                return
+            except StreamingQueryException:
+                if not self.left:
+                    raise
+                self.left -= 1
+                time.sleep(self.wait_s)
+                self.query = self.make()
+
+    def __getattr__(self, name: str):
+        return getattr(self.query, name)
 
 
 def run_with_restarts(make: Callable[[], object], attempts: int = 3, wait_s: float = 1.0) -> None:
     """Start a query, wait for its end, and start it again from its checkpoint if it fails."""
-    for attempt in range(attempts + 1):
-        try:
-            make().awaitTermination()
-            return
-        except StreamingQueryException:
-            if attempt == attempts:
-                raise
-            time.sleep(wait_s)
-
-
-def top_n_stream(df: DataFrame, key: list[str], order: list[tuple[str, bool]], n: int) -> DataFrame:
-    """A changing top-N: every batch emits the list of each key it touched (``update`` mode).
-
-    State is the n rows of a key, as an Arrow stream, so every type comes back as it was.
-    ``order`` is columns and whether they descend.
-    """
-    from pyspark.sql import types as T
-
-    columns = df.columns
-    names, falling = [c for c, _ in order], [d for _, d in order]
-    out = T.StructType([*df.schema.fields, T.StructField("rownum", T.LongType())])
-    state_type = T.StructType([T.StructField("rows", T.BinaryType())])
-
-    def update(keys, batches, state):
-        import pyarrow as pa
-
-        held = [pa.ipc.open_stream(bytes(state.get[0])).read_pandas()] if state.exists else []
-        rows = pd.concat([*held, *[b[columns] for b in batches]], ignore_index=True)
-        best = rows.sort_values(names, ascending=[not d for d in falling], kind="stable").head(n)
-        kept = pa.Table.from_pandas(best, preserve_index=False)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, kept.schema) as stream:
-            stream.write_table(kept)
-        state.update((sink.getvalue().to_pybytes(),))
-        yield best.assign(rownum=range(1, len(best) + 1))
-
-    return df.groupBy(*key).applyInPandasWithState(update, out, state_type, "update", "NoTimeout")
+    Supervised(make, attempts, wait_s).awaitTermination()
 
 
 def window_counts(df: DataFrame, watermark: Watermark, size: str | int, key: list[str], select: dict[str, str]) -> DataFrame:

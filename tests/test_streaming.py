@@ -9,6 +9,7 @@ from tarnflow.plans.pipeline import Changelog
 from tarnflow.sources.readers import generated_source
 from tarnflow.sources.writers import KeyedTable
 from tarnflow.streaming import runner
+from tarnflow.streaming.stateful import match_stream, top_n_stream
 
 SCHEMA = Schema({"id": "BIGINT", "k": "STRING", "ts": "TIMESTAMP_LTZ(3)", "v": "DOUBLE"}, Watermark("ts", "5 minutes"))
 
@@ -57,7 +58,7 @@ def test_keyed_sink_and_several_sinks(spark, feed, tmp_path):
 
 
 def test_top_n_stream(spark, feed, tmp_path):
-    top = runner.top_n_stream(runner.replay(spark, feed, SCHEMA).select("id", "k", "v", "ts"), ["k"], [("v", True), ("id", False)], 2)
+    top = top_n_stream(runner.replay(spark, feed, SCHEMA).select("id", "k", "v", "ts"), ["k"], [("v", True), ("id", False)], 2)
     last = {}
 
     def keep(rows):
@@ -99,7 +100,6 @@ def test_modes_and_rate_source(spark):
 
 def test_patterns_equal_batch(spark, feed, tmp_path):
     from tarnflow.operators import pattern
-    from tarnflow.streaming.patterns import match_stream
 
     define = {"A": "v % 5 = 0", "B": "v % 5 <> 0", "C": "v % 6 >= 4"}
     measures = {"started": ("FIRST(A.ts)", "TIMESTAMP_LTZ"), "low": ("FIRST(A.v)", "DOUBLE"), "high": ("LAST(C.v)", "DOUBLE"), "n": ("COUNT(*)", "BIGINT")}
