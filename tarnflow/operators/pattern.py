@@ -13,9 +13,10 @@ from __future__ import annotations
 import ast
 import operator
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -217,8 +218,7 @@ def relate(condition: str, name: str) -> Relation:
 def _match_fixed(frame: DataFrame, keys: list[str], order: list[str], names: list[str], define: dict[str, str], parts: list[Part], used: list[str], after: str) -> DataFrame:
     """Matches of a sequence of single rows: ``__m`` columns beside the keys.
 
-    Of hits that overlap, those that begin after the last row of a chosen one are chosen; only
-    stretches of hits that overlap one another are held together.
+    Of hits that overlap, those that begin after the last row of a chosen one are chosen; see :func:`choose_apart`.
     """
     by_key = Window.partitionBy(*map(quote, keys))
     rows = by_key.orderBy(*map(quote, order))
@@ -261,14 +261,30 @@ def _match_fixed(frame: DataFrame, keys: list[str], order: list[str], names: lis
     made = [F.expr(of(p)).cast(_part_type(p, frame.schema)).alias(f"__m{n}") for n, p in enumerate(parts)]
     if after != "past_last" or size == 1:
         return hits.select(*map(quote, keys), *made)
-    apart = F.coalesce(F.col("__at") - F.lag("__at").over(rows) >= size, F.lit(True))
-    stretch = hits.select(*map(quote, keys), *[quote(c) for c in order if c not in keys], "__at", F.struct(*made).alias("__m"), apart.cast("long").alias("__new"))
-    stretch = stretch.select(*map(quote, keys), "__at", "__m", F.sum("__new").over(rows.rowsBetween(Window.unboundedPreceding, 0)).alias("__stretch"))
-    held = stretch.groupBy(*map(quote, keys), "__stretch").agg(F.array_sort(F.collect_list(F.struct("__at", "__m"))).alias("__hits"))
-    # Each hit is chosen if it begins after the chosen one before it.
-    last = f"IF(size(a) = 0, -{size}, element_at(a, -1).__at)"
-    chosen = F.expr(f"IF(size(__hits) = 1, __hits, aggregate(__hits, slice(__hits, 1, 0), (a, h) -> IF(h.__at - {last} >= {size}, array_append(a, h), a)))")
-    return held.select(*map(quote, keys), F.explode(chosen).alias("__hit")).select(*map(quote, keys), "__hit.__m.*")
+    found = hits.select(*map(quote, keys), "__at", F.struct(*made).alias("__m"))
+    return choose_apart(found, keys, size).select(*map(quote, keys), "__m.*")
+
+
+def choose_apart(hits: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Of hits of ``size`` rows that begin at ``__at``, those that begin after the end of the last chosen one, from the first on.
+
+    The window brings the hits of a key together in their order and spills if they are many; then they
+    pass by once, and of a key no more is remembered than where the next hit may begin.
+    """
+    names = list(map(quote, keys))
+    ordered = hits.withColumn("__new", F.lag("__at").over(Window.partitionBy(*names).orderBy("__at")).isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free = 0
+        for batch in batches:
+            chosen = []
+            for at, new in zip(batch.column("__at").to_pylist(), batch.column("__new").to_pylist(), strict=True):
+                free = 0 if new else free
+                chosen.append(at >= free)
+                free = at + size if chosen[-1] else free
+            yield batch.filter(pa.array(chosen, pa.bool_()))
+
+    return ordered.mapInArrow(run, ordered.schema).drop("__new")
 
 
 def _match_runs(frame: DataFrame, keys: list[str], order: list[str], step: tuple[str, int, int, bool], condition: str, parts: list[Part], used: list[str]) -> DataFrame:
