@@ -23,15 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.common import map_batches, table
+from tarnflow.llm.html_tokens import tokens
 
 #: Pages of the training sample, on average; twice as many at most.
 SAMPLE_PAGES = 2000
 CONTENT_AT = 0.5
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(?P<raw>script|style|template|noscript|textarea|title|svg|iframe|object|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+RAW = frozenset("script style template noscript textarea title svg iframe object select".split())
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 #: Elements that hold text within a line; they are no nodes and break no block.
@@ -96,8 +93,7 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack, links = [0], 0
-        for found in _TOKEN.finditer(source):
-            text = found["text"]
+        for text, tag, end, attributes in tokens(source, RAW):
             if text is not None:
                 self._text.append(text)
                 size = len(text)
@@ -105,12 +101,8 @@ class Page:
                 if links:
                     self.linked[stack[-1]] += size
                 continue
-            tag = found["tag"]
-            if tag is None:
-                continue
-            tag = tag.lower()
             if tag == "a":
-                links = 0 if found["end"] else 1
+                links = 0 if end else 1
                 continue
             if tag == "br":
                 self._text.append(" ")
@@ -118,7 +110,7 @@ class Page:
             if tag in INLINE:
                 continue
             self._flush(stack[-1])
-            if found["end"]:
+            if end:
                 for k in range(len(stack) - 1, 0, -1):
                     if self.tags[stack[k]] == tag:
                         del stack[k:]
@@ -137,7 +129,7 @@ class Page:
                         break
             if tag in VOID:
                 continue
-            names = tuple(dict.fromkeys(w for m in _NAMES.finditer(found["attrs"]) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()))) if found["attrs"] else ()
+            names = tuple(dict.fromkeys(w for m in _NAMES.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()))) if attributes else ()
             stack.append(self._open(tag, stack[-1], names))
         self._flush(stack[-1])
 

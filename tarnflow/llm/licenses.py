@@ -114,22 +114,28 @@ def evaluate(postfix: list[str], allowed: frozenset[str] = PERMISSIVE) -> tuple[
 _IDENTIFIER = re.compile(r"(?:documentref-[a-z0-9.-]+:)?[a-z0-9][a-z0-9.-]*\+?")
 
 
+#: Pieces of an expression: brackets, words, and the end of the line.
+_PIECE = re.compile(r"\n|[()]|[^\s()]+")
+
+
 def read_expression(text: str, start: int) -> list[str]:
     """Tokens of the expression on the rest of the line, up to the first that cannot belong to it."""
-    line_end = text.find("\n", start)
-    line = text[start : line_end if line_end >= 0 else len(text)].lower()
     tokens: list[str] = []
-    operand_next = True
-    for raw in line.replace("(", " ( ").replace(")", " ) ").split():
+    operand_next, open_brackets = True, 0
+    for found in _PIECE.finditer(text, start):
+        raw = found[0].lower()
+        if raw == "\n":
+            break
         token = raw.strip("\"'`,;*/")
         token = token if token in ("(", ")") else token.rstrip(".")
-        if token == ")" and tokens.count("(") <= tokens.count(")"):
+        if token == ")" and not open_brackets:
             break
         known = token in PRECEDENCE or token in ("(", ")") or (operand_next and bool(token) and (label_of(token) or tokens[-1:] == ["with"] or _IDENTIFIER.fullmatch(token)))
         if not known or (token in PRECEDENCE and operand_next):
             break
         tokens.append(token)
         operand_next = token in PRECEDENCE or token == "("
+        open_brackets += (token == "(") - (token == ")")
     while tokens and tokens[-1] in PRECEDENCE:
         tokens.pop()
     return tokens

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.common import map_batches, materialize, table
+from tarnflow.llm.html_tokens import tokens
 
 #: Payloads are padded with zero bytes to a positive multiple of this.
 BLOCK = 64
@@ -30,7 +31,7 @@ SAMPLE_RATE = 8000
 #: Fixed layout: RIFF header, 16-byte PCM format chunk, data chunk header.
 WAVE_HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 ITEM = "struct<pos:int,kind:string,text:string,digest:string,caption:string>"
-_TOKEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|</?([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
+RAW = frozenset({"script", "style"})
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 #: Elements that hold text within a line; every other tag ends the text before it.
 INLINE = frozenset("a abbr b bdi bdo cite code em i kbd mark q s samp small span strong sub sup time u var".split())
@@ -80,16 +81,15 @@ def parse_sequence(page: str) -> list[dict]:
         if joined:
             items.append({"pos": len(items), "kind": "text", "text": joined, "digest": None, "caption": None})
 
-    for found in _TOKEN.finditer(page):
-        if found[4] is not None:
-            text.append(html_text.unescape(found[4]))
+    for words, tag, end, written in tokens(page, RAW):
+        if words is not None:
+            text.append(html_text.unescape(words))
             continue
-        tag = (found[2] or "").lower()
-        if tag in INLINE or not tag:
+        if tag in INLINE:
             continue
         flush()
-        if tag in MEDIA and not found[0].startswith("</"):
-            attributes = {a[1].lower(): html_text.unescape(next((v for v in a.groups()[1:] if v is not None), "")) for a in _ATTRIBUTE.finditer(found[3])}
+        if tag in MEDIA and not end:
+            attributes = {a[1].lower(): html_text.unescape(next((v for v in a.groups()[1:] if v is not None), "")) for a in _ATTRIBUTE.finditer(written)}
             source = attributes.get("src", "")
             if source:
                 digest = source.removeprefix(SCHEME) if source.startswith(SCHEME) else None
