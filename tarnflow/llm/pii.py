@@ -57,22 +57,32 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Matches of a text whose places are summed up together.
+RUN = 64
+
+
 def _matches(text: str, pattern: str, guard: str) -> str:
     """SQL for all matches of a pattern with starts (code points) and surroundings.
 
-    The pieces that split() leaves between the matches give the starts as running sums.
+    The pieces that split() leaves between the matches give the starts as running sums: over runs of RUN
+    matches first, then inside each run, so that no long array is built up item by item.
     """
     p = _quoted(pattern)
     none = f"CAST(array() AS array<{_SPAN}>)"
-    found = f"""element_at(transform(array(struct(regexp_extract_all({text}, {p}, 0) AS m, split({text}, {p}, -1) AS g)), w ->
-        aggregate(
-          arrays_zip(w.m, slice(w.g, 1, size(w.m)) AS g, slice(w.g, 2, size(w.m)) AS h),
-          named_struct('pos', 0L, 'out', {none}),
-          (acc, x) -> named_struct(
-            'pos', acc.pos + char_length(x.`g`) + char_length(x.`0`),
-            'out', concat(acc.out, array(named_struct('s', acc.pos + char_length(x.`g`), 'm', x.`0`, 'l', right(x.`g`, 40), 'r', left(x.`h`, 20))))),
-          acc -> acc.out)), 1)"""
-    found = found.replace("arrays_zip(w.m, slice(w.g, 1, size(w.m)) AS g, slice(w.g, 2, size(w.m)) AS h)", "zip_with(zip_with(w.m, slice(w.g, 1, size(w.m)), (a, b) -> struct(a AS m, b AS g)), slice(w.g, 2, size(w.m)), (a, b) -> struct(a.m AS `0`, a.g AS g, b AS h))")
+    pieces = f"struct(regexp_extract_all({text}, {p}, 0) AS m, split({text}, {p}, -1) AS g)"
+    items = "zip_with(zip_with(w.m, slice(w.g, 1, size(w.m)), (a, b) -> struct(a AS m, b AS g)), slice(w.g, 2, size(w.m)), (a, b) -> struct(a.m AS m, a.g AS g, b AS h))"
+    runs = f"transform(sequence(0, (size(v) - 1) DIV {RUN}), b -> slice(v, b * {RUN} + 1, {RUN}))"
+    length = "aggregate(run, 0L, (acc, x) -> acc + char_length(x.g) + char_length(x.m))"
+    starts = f"aggregate(transform(q, run -> {length}), array(0L), (acc, n) -> array_append(acc, element_at(acc, -1) + n))"
+    span = "named_struct('s', acc.pos + char_length(x.g), 'm', x.m, 'l', right(x.g, 40), 'r', left(x.h, 20))"
+    inside = f"aggregate(run, named_struct('pos', u[i], 'out', {none}), (acc, x) -> named_struct('pos', acc.pos + char_length(x.g) + char_length(x.m), 'out', array_append(acc.out, {span})), acc -> acc.out)"
+
+    def bind(name: str, value: str, body: str) -> str:
+        """``body`` with a name for a value that it uses more than once."""
+        return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+    placed = bind("q", runs, bind("u", starts, f"flatten(transform(q, (run, i) -> {inside}))"))
+    found = bind("w", pieces, bind("v", items, f"IF(size(v) = 0, {none}, {placed})"))
     return f"CASE WHEN {guard.format(t=text)} THEN {found} ELSE {none} END"
 
 

@@ -55,3 +55,17 @@ def test_long_licence_lines_take_linear_time():
     brackets = "SPDX-License-Identifier: " + "(" * 60_000 + "MIT" + ")" * 60_000
     assert seconds(lambda t: licenses.scan(t, machine), tags, brackets) < 8
     assert licenses.read_expression("SPDX-License-Identifier: (MIT OR Apache-2.0) AND x\nGPL-2.0", 24) == ["(", "mit", "or", "apache-2.0", ")", "and", "x"]
+
+
+def test_many_matches_of_one_text(spark):
+    from tarnflow.llm import pii
+
+    took = []
+    for n in (4_000, 16_000):
+        df = spark.createDataFrame([(1, "10.0.0.1 é " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        row = df.select(pii.F.expr(pii._matches("text", pii.BASE["ip"], pii.GUARD["ip"])).alias("x")).first()
+        took.append(time.perf_counter() - began)
+        assert [s.s for s in row.x] == [11 * k for k in range(n)]
+        assert (row.x[0].l, row.x[1].l, row.x[-1].r) == ("", " é ", " é ")
+    assert took[1] < 8 * max(0.5, took[0])
