@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions.types import Schema, parse_type, with_watermark
 from tarnflow.operators.cdc import CHANGE_FORMATS, decode_changes, fold
+from tarnflow.sources.streams import register
 
 #: Connectors under names that Spark does not know.
 FORMATS = {"filesystem": "parquet"}
@@ -47,13 +48,20 @@ def jdbc_source(spark: SparkSession, url: str, table: str, partition: tuple[str,
     return reader.load()
 
 
-def generated_source(spark: SparkSession, schema: Schema, rows: int | None = None, rows_per_second: int = 10, fields: dict[str, dict] | None = None, seed: int = 0) -> DataFrame:
-    """Synthetic rows: ``rows`` of them in batch, else a stream at a rate.
+def generated_source(spark: SparkSession, schema: Schema, rows: int | None = None, rows_per_second: int = 10, fields: dict[str, dict] | None = None, seed: int = 0, stream_rows: int | None = None) -> DataFrame:
+    """Synthetic rows: ``rows`` of them in batch, else a stream at a rate, with ``stream_rows`` one that ends.
 
     ``fields`` gives a column ``kind`` (random or sequence), ``min``, ``max``, ``length``, ``start``,
-    ``end``. Values depend on the row number and the seed only.
+    ``end``. Values depend on the row number and the seed only. A stream goes on after the last
+    row of its checkpoint when it starts again.
     """
-    base = spark.range(rows).select(F.col("id").alias("__n")) if rows is not None else spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load().select(F.col("value").alias("__n"), "timestamp")
+    if rows is not None:
+        base = spark.range(rows).select(F.col("id").alias("__n"))
+    else:
+        register(spark)
+        options = {"rowsPerSecond": rows_per_second} | ({"numRows": stream_rows} if stream_rows is not None else {})
+        due = spark.readStream.format("row_counter").options(**options).load()
+        base = due.select(F.explode(F.sequence("low", F.col("high") - 1)).alias("__n"), F.timestamp_millis("at").alias("timestamp"))
 
     def column(k: int, name: str, kind: str) -> F.Column:
         option = (fields or {}).get(name, {})
@@ -105,16 +113,21 @@ def decode_values(df: DataFrame, schema: Schema, format: str = "json", value: st
 
 
 def topic_source(
-    spark: SparkSession, topic: str, schema: Schema, servers: str | None = None, format: str = "json", startup: str = "earliest", group: str | None = None, replay: str | None = None, streaming: bool = True
+    spark: SparkSession, topic: str, schema: Schema, servers: str | None = None, format: str = "json", startup: str = "earliest", group: str | None = None, replay: str | None = None, streaming: bool = True, log: str | None = None
 ) -> DataFrame:
     """A topic as typed rows.
 
     ``startup`` is ``earliest``, ``latest``, or a timestamp in milliseconds. With a key and a plain
-    format the topic holds upserts; fold them with :func:`latest_by_key`. ``replay`` reads text
+    format the topic holds upserts; fold them with :func:`latest_by_key`. ``log`` reads a
+    message log (see :mod:`tarnflow.sources.streams`) with the same offsets and startup modes, ``replay`` text
     files of messages instead of a broker. The broker connector needs its jar and could not be
     tried here.
     """
-    if replay:
+    if log:
+        register(spark)
+        options = {"path": log, "topic": topic, "startup": startup}
+        raw = (spark.readStream if streaming else spark.read).format("message_log").options(**options).load()
+    elif replay:
         raw = spark.readStream.text(replay) if streaming else spark.read.text(replay)
     else:
         options = {"kafka.bootstrap.servers": servers or "localhost:9092", "subscribe": topic}
