@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnflow.functions.types import Watermark, to_interval, to_milliseconds
-from tarnflow.operators import aggregate, joins, pattern, project, ranking, relations, routing
+from tarnflow.operators import aggregate, joins, lookup, pattern, project, ranking, relations, routing
 from tarnflow.sources.lakehouse import TableSpec, problems, table_sink
 
 #: Steps by name: kind (source, transform, sink) and function. Plugins add to it.
@@ -22,7 +22,7 @@ OPERATORS: dict[str, Callable[..., DataFrame]] = {
     "filter": project.filter_rows, "map": project.map_columns, "flat_map": project.flat_map, "rename": project.rename, "drop": project.drop,
     "cast": project.cast, "coalesce": project.coalesce, "add_field": project.add_field,
     "join": joins.join, "broadcast_join": joins.broadcast_join, "lookup_join": joins.lookup_join, "interval_join": joins.interval_join,
-    "as_of_join": joins.as_of_join, "lateral_join": joins.lateral_join,
+    "as_of_join": joins.as_of_join, "lateral_join": joins.lateral_join, "lookup_rows": lookup.lookup_rows,
     "aggregate": aggregate.aggregate, "grouping": aggregate.grouping, "tumble": aggregate.tumble, "slide": aggregate.slide, "session": aggregate.session,
     "tumble_windows": aggregate.tumble_windows, "session_windows": aggregate.session_windows, "cumulate": aggregate.cumulate,
     "top_n": ranking.top_n, "deduplicate": ranking.deduplicate, "window_columns": ranking.window_columns, "qualify": ranking.qualify, "sort_limit": ranking.sort_limit,
@@ -48,7 +48,7 @@ def _match_stream(df: DataFrame, ttl: str | None, partition_by: list[str], patte
 #: Steps that need state on a stream, which ``state_ttl`` bounds.
 ON_STREAMS = {"top_n": _top_n_stream, "match_rows": _match_stream}
 #: What a step does to a stream of changes: keep, make, or reduce it.
-KEEPS = frozenset("filter map flat_map rename drop cast coalesce add_field top_n window_columns qualify query sort_limit side_main side_rows valid rejected lookup_join lateral_join as_of_join tumble_windows session_windows branch view".split())
+KEEPS = frozenset("lookup_rows filter map flat_map rename drop cast coalesce add_field top_n window_columns qualify query sort_limit side_main side_rows valid rejected lookup_join lateral_join as_of_join tumble_windows session_windows branch view".split())
 RETRACTING_SINKS = frozenset({"update_batches", "jdbc_upsert", "keyed_table", "paimon", "iceberg", "upsert_topic"})
 
 
