@@ -141,14 +141,17 @@ def interval_join(
 
 
 def as_of_join(
-    stream: DataFrame, versions: DataFrame, key: str | list[str], as_of: str, version_time: str, prefix: str = "", deleted: str | None = None
+    stream: DataFrame, versions: DataFrame, key: str | list[str], as_of: str, version_time: str, prefix: str = "", deleted: str | None = None, bucket: str | int | None = None
 ) -> DataFrame:
     """Left join with the version that was valid at ``as_of``: the last with ``version_time <= as_of`` per key.
 
     Both sides are dealt once by key and sorted by time; a running ``last`` carries the
     version to the rows after it, so nothing is paired. Version columns that clash with a
     stream column get ``prefix`` or go if it is empty. Where ``deleted`` is true of a
-    version, the key has none from then on.
+    version, the key has none from then on; versions without a time are none.
+
+    ``bucket``, a duration, spreads a hot key: rows are dealt by key and stretch of time, and the last version of each
+    stretch is carried on to later ones in a second step over one row for each stretch.
     """
     keys = [key] if isinstance(key, str) else key
     carried = [c for c in versions.columns if c not in keys and (prefix or c not in stream.columns)]
@@ -156,9 +159,22 @@ def as_of_join(
     version = F.struct(*[F.col(quote(c)) for c in carried])
     live = F.when(F.expr(deleted), F.lit(None)).otherwise(version) if deleted else version
     facts = stream.select(*[F.col(quote(k)).alias(f"__k{n}") for n, k in enumerate(keys)], F.col(quote(as_of)).alias("__at"), F.lit(1).alias("__side"), F.struct("*").alias("__row"), F.lit(None).alias("__version"))
-    known = versions.select(*[F.col(quote(k)).alias(f"__k{n}") for n, k in enumerate(keys)], F.col(quote(version_time)).alias("__at"), F.lit(0).alias("__side"), F.lit(None).alias("__row"), F.struct(live.alias("v")).alias("__version"))
-    order = Window.partitionBy(*[f"__k{n}" for n in range(len(keys))]).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = facts.unionByName(known).withColumn("__found", F.last("__version", ignorenulls=True).over(order)).where("__side = 1")
+    known = versions.select(*[F.col(quote(k)).alias(f"__k{n}") for n, k in enumerate(keys)], F.col(quote(version_time)).alias("__at"), F.lit(0).alias("__side"), F.lit(None).alias("__row"), F.struct(live.alias("v")).alias("__version")).where("__at IS NOT NULL")
+    names_of_keys = [f"__k{n}" for n in range(len(keys))]
+    merged = facts.unionByName(known)
+    dealt = names_of_keys
+    if bucket is not None:
+        width = to_milliseconds(bucket) * 1000
+        merged = merged.withColumn("__slot", F.floor(F.unix_micros(F.col("__at").cast("timestamp")) / width))
+        dealt = [*names_of_keys, "__slot"]
+    order = Window.partitionBy(*dealt).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged_found = merged.withColumn("__found", F.last("__version", ignorenulls=True).over(order)).where("__side = 1")
+    if bucket is not None:
+        ends = merged.groupBy(*dealt).agg(F.max_by("__version", F.when(F.col("__side") == 0, F.col("__at"))).alias("__end"))
+        before = Window.partitionBy(*names_of_keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+        carried_on = ends.withColumn("__carried", F.last("__end", ignorenulls=True).over(before)).where("__carried IS NOT NULL").select(*dealt, "__carried")
+        merged_found = merged_found.join(carried_on, dealt, "left").withColumn("__found", F.coalesce("__found", "__carried"))
+    merged = merged_found
     valid = F.col("__at").isNotNull()
     for n in range(len(keys)):
         valid = valid & F.col(f"__k{n}").isNotNull()

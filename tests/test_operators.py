@@ -200,6 +200,32 @@ def test_pattern_windows_match_as_the_matcher(spark):
     assert "Pandas" not in plan and plan.count("Exchange") == 1
 
 
+def test_as_of_buckets_spread_a_hot_key(spark):
+    """The same rows with and without buckets; one key with all rows is dealt over many tasks."""
+    import random
+    from datetime import datetime, timedelta
+
+    rnd, start = random.Random(4), datetime(2024, 1, 1)
+
+    def table(n, name, keys):
+        rows = [(rnd.choice(keys), None if k % 50 == 7 else start + timedelta(minutes=rnd.randrange(20_000), seconds=k % 60, microseconds=k), k, rnd.random() < 0.2) for k in range(n)]
+        return spark.createDataFrame(rows, f"k string, {name} timestamp, {name}_n int, {name}_gone boolean")
+
+    facts, versions = table(600, "t", ["a", "b", None, "c"]), table(80, "vt", ["a", "b", None, "d"])
+    for deleted in (None, "vt_gone"):
+        plain = joins.as_of_join(facts, versions, "k", "t", "vt", deleted=deleted)
+        for bucket in ("1 hour", "3 days", "400 days"):
+            spread = joins.as_of_join(facts, versions, "k", "t", "vt", deleted=deleted, bucket=bucket)
+            assert spread.columns == plain.columns and sorted(map(repr, rows(spread))) == sorted(map(repr, rows(plain)))
+    hot = facts.withColumn("k", F.lit("a")).where("t IS NOT NULL")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = [len({r.p for r in joins.as_of_join(hot, versions, "k", "t", "vt", bucket=b).withColumn("p", F.spark_partition_id()).collect()}) for b in (None, "1 hour")]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks[0] == 1 and tasks[1] == 4
+
+
 def test_join_conditions_are_split_at_the_top_only(spark):
     assert joins.conjuncts("l.a = r.a AND l.t BETWEEN r.lo AND hi AND (x = 1 AND y = 2)") == ["l.a = r.a ", " l.t BETWEEN r.lo AND hi ", " (x = 1 AND y = 2)"]
     assert joins.conjuncts("a = ' AND ' AND CASE WHEN p AND q THEN 1 END = 1 and b") == ["a = ' AND ' ", " CASE WHEN p AND q THEN 1 END = 1 ", " b"]
