@@ -491,6 +491,13 @@ def as_of(spark, sf_dir):
     return joins.as_of_join(purchases, clicks, "user_id", "p_ts", "c_ts")
 
 
+@_query(f"SELECT p_id, p.user_id, p_ts, c_id, c_ts FROM ({_PURCHASES}) p ASOF LEFT JOIN ({_CLICKS}) c ON p.user_id = c.user_id AND p_ts >= c_ts")
+def as_of_spread(spark, sf_dir):
+    """A hot key dealt by stretches of time; the last version of each is carried over."""
+    purchases, clicks = _purchases_clicks(spark, sf_dir)
+    return joins.as_of_join(purchases, clicks, "user_id", "p_ts", "c_ts", bucket="12 hours")
+
+
 @_query(r"SELECT doc_id, unnest(string_split(text, ' ')) AS token FROM documents")
 def lateral_function(spark, sf_dir):
     from pyspark.sql.functions import udtf

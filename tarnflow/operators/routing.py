@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnflow.functions.dialect import quote, rewrite
 
@@ -20,6 +21,39 @@ def route(df: DataFrame, branches: dict[str, str], default: str | None = None, d
     return found
 
 
+def route_once(df: DataFrame, branches: dict[str, str], path: str, default: str | None = None, default_mode: str = "all") -> dict[str, DataFrame]:
+    """The branches of :func:`route`, but the input is computed once, however many sinks follow.
+
+    Every row is tagged with the branches that take it and written once for each of them, to a partition of
+    ``path`` by tag; a branch reads its partition alone. The folder is the caller's to delete.
+    """
+    taken = {name: f"coalesce(({rewrite(c)}), false)" for name, c in branches.items()}
+    if default:
+        taken[default] = "true" if default_mode == "all" else f"NOT ({' OR '.join(taken.values()) or 'false'})"
+    tag = unused_column("route", df.columns)
+    tags = F.filter(F.array(*[F.when(F.expr(c), F.lit(name)) for name, c in taken.items()]), lambda t: t.isNotNull())
+    df.withColumn(tag, F.explode(tags)).write.mode("overwrite").partitionBy(tag).parquet(path)
+    written = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField(tag, T.StringType())])).parquet(path)
+    return {name: written.where(F.col(tag) == name).drop(tag) for name in taken}
+
+
+def unused_column(name: str, taken: list[str]) -> str:
+    """``name`` behind underscores that no column has."""
+    held = {t.lower() for t in taken}
+    found = f"__{name}"
+    while found in held:
+        found = f"_{found}"
+    return found
+
+
+def validate_once(df: DataFrame, path: str, null_as_reject: bool = False, **checks) -> tuple[DataFrame, DataFrame]:
+    """:func:`validate` with the input computed once; ``checks`` are those of :func:`rules`."""
+    every = " AND ".join(f"({c})" for c in rules(**checks).values()) or "true"
+    every = f"coalesce({every}, false)" if null_as_reject else f"({every})"
+    found = route_once(df, {"valid": every, "rejected": f"NOT {every}"}, path)
+    return found["valid"], validate(found["rejected"], null_as_reject=null_as_reject, **checks)[1]
+
+
 def side_output(df: DataFrame, condition: str, tag: str | None = None, null_to_side: bool = False) -> tuple[DataFrame, DataFrame]:
     """Main rows (condition false) and side rows (true) with ``_side_ts`` and ``_side_tag``.
 

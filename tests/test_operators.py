@@ -200,6 +200,32 @@ def test_pattern_windows_match_as_the_matcher(spark):
     assert "Pandas" not in plan and plan.count("Exchange") == 1
 
 
+def test_branches_of_one_pass(spark, tmp_path):
+    """Routes and validations give the same rows as plain ones, and the input is computed once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(k, None if k % 7 == 0 else k % 5, "x") for k in range(200)], "id int, v int, __route string").repartition(3)
+    counted = df.mapInArrow(count, df.schema)
+    branches = {"low": "v < 2", "a/b=c": "v > 3 OR id < 10", "none": "v > 100"}
+    for mode in ("all", "unmatched"):
+        seen.value = 0
+        once = routing.route_once(counted, branches, str(tmp_path / mode), "rest", mode)
+        plain = routing.route(df, branches, "rest", mode)
+        assert {n: rows(d) for n, d in once.items()} == {n: rows(d) for n, d in plain.items()} and seen.value == 200
+        assert once["low"].columns == df.columns
+    checks = {"not_null": ["v"], "ranges": {"v": (1, 4)}, "expressions": {"odd": "id % 2 = 1"}}
+    for null_as_reject in (False, True):
+        seen.value = 0
+        good, bad = routing.validate_once(counted, str(tmp_path / f"v{null_as_reject}"), null_as_reject, **checks)
+        plain_good, plain_bad = routing.validate(df, null_as_reject=null_as_reject, **checks)
+        assert rows(good) == rows(plain_good) and rows(bad.drop("_validated_at")) == rows(plain_bad.drop("_validated_at")) and seen.value == 200
+
+
 def test_as_of_buckets_spread_a_hot_key(spark):
     """The same rows with and without buckets; one key with all rows is dealt over many tasks."""
     import random
