@@ -48,6 +48,10 @@ FILTER_BITS = 1 << 23
 #: Tables that one task adds up, and members from which a group is large. Neither changes the result.
 FAN_IN = 64
 LARGE = 32
+#: Members of a list, one after the other, that all its other members are compared with before any two are paired.
+TURNS = 1
+#: Places of the sketch that tells how much two sets differ in at least.
+SKETCH = 1024
 #: Set names that may be broadcast (8 bytes each), to read only these sets; more are joined.
 BROADCAST_NAMES = 1 << 19
 _BASE = 0xD6E8FEB86659FD93
@@ -184,6 +188,15 @@ def size_class(n: Column, percent: int = PERCENT) -> Column:
     return F.floor(F.log(n) / (math.log(100 / percent) * 1.001)).cast("int")
 
 
+def sketch_of(tokens: np.ndarray) -> np.ndarray:
+    """For each of SKETCH places whether an odd number of tokens falls on it, as 64-bit words.
+
+    Two sets differ in at least as many tokens as their sketches in places.
+    """
+    odd = np.bincount((tokens >> np.uint64(40)).astype(np.intp) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def class_of(tokens: np.ndarray) -> int:
     """A 64-bit name of a set: equal sets, equal names."""
     with np.errstate(over="ignore"):
@@ -191,22 +204,23 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def profiles(documents: DataFrame, id_col: str, text_col: str, words: int, percent: int, counters: np.ndarray) -> DataFrame:
-    """``doc_id, set_id, n, tokens``: name and size of each set and its prefix in the first order."""
+    """``doc_id, set_id, n, tokens, sketch``: name and size of each set, its prefix in the first order, and :func:`sketch_of` it."""
     narrow = documents.select(documents[id_col].alias("doc_id"), documents[text_col].alias("text"))
     kind = dict(narrow.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, counts, tokens = [], [], []
+            names, counts, tokens, sketches = [], [], [], []
             for text in batch.column("text"):
                 found = rare_first((text.as_py() or "").encode("utf-8"), counters, words)
                 counts.append(len(found))
                 names.append(class_of(found) if len(found) else None)
                 tokens.append(found[: prefix_length(len(found), percent)].view(np.int64) if len(found) else [])
-            columns = [batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(counts, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_id", "n", "tokens"])
+                sketches.append(sketch_of(found) if len(found) else None)
+            columns = [batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(counts, pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in (tokens, sketches)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_id", "n", "tokens", "sketch"])
 
-    return map_batches(narrow, run, f"doc_id {kind}, set_id long, n long, tokens array<long>")
+    return map_batches(narrow, run, f"doc_id {kind}, set_id long, n long, tokens array<long>, sketch array<long>")
 
 
 def _filter_of(wanted: DataFrame) -> np.ndarray:
@@ -358,13 +372,14 @@ def heads(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("set_id").alias("head"), F.max("out").alias("open")).where((F.col("size") > LARGE) & F.col("open")).select("key", "head")
 
 
-def pairs_of(keyed: DataFrame, near: Column, labels: DataFrame) -> DataFrame:
+def pairs_of(keyed: DataFrame, near: Column, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` under one key that are not in one component yet, at least one of them out.
 
-    ``near`` is a condition on the rows ``x`` and ``y``. Of two sets in different components one at
+    ``near`` is a condition on the rows ``x`` and ``y``; sets whose sketches differ too much are no pair either. Of two sets in different components one at
     least is outside the component that has most sets of the key; only such sets meet the others.
     """
     rows = keyed.join(labels, keyed["set_id"] == labels["node"], "left").withColumn("root", F.coalesce("root", "set_id")).drop("node")
+    rows = rows.join(sketches, "set_id")
     same, key = Window.partitionBy("key", "root"), Window.partitionBy("key")
     rows = rows.withColumn("size", F.count("*").over(same)).withColumn("any_out", F.max("out").over(same))
     rows = rows.withColumn("largest", F.max(F.struct("size", "root", "any_out")).over(key))
@@ -373,9 +388,24 @@ def pairs_of(keyed: DataFrame, near: Column, labels: DataFrame) -> DataFrame:
     x, y = rows.where("asks").alias("x"), rows.alias("y")
     once = ~F.col("y.asks") | (F.col("x.set_id") < F.col("y.set_id"))
     apart = (F.col("x.root") != F.col("y.root")) & (F.col("x.out") | F.col("y.out"))
+    differ = sum((F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(SKETCH // 64)), F.lit(0))
+    near = near & ((100 + percent) * differ <= (100 - percent) * (F.col("x.n") + F.col("y.n")))
     return x.join(y, (F.col("x.key") == F.col("y.key")) & apart & once & near).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
 
 
+def star_of(keyed: DataFrame, near: Column, labels: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``a, b`` of each set of a key with one of them, another at each ``turn``, if they are not in one component yet.
+
+    A key whose sets are mostly alike falls into few components by this, so that hardly any of its pairs are left.
+    """
+    rows = keyed.join(labels, keyed["set_id"] == labels["node"], "left").withColumn("root", F.coalesce("root", "set_id")).drop("node")
+    head = F.min(F.struct(F.xxhash64("set_id", F.lit(turn)).alias("rank"), "set_id", "root", "n", "pos", "out")).over(Window.partitionBy("key"))
+    rows = rows.withColumn("head", head)
+    rows = rows.select(F.struct("set_id", "root", "n", "pos", "out").alias("x"), F.col("head").alias("y"))
+    apart = (F.col("x.root") != F.col("y.root")) & (F.col("x.out") | F.col("y.out"))
+    return rows.where(apart & near).select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
+
+
 def jaccard_components(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
@@ -436,14 +466,21 @@ def jaccard_components(
     less, more = 100 - percent, 100 + percent
     room = 2 * F.least(F.col("x.gap") - F.col("x.pos"), F.col("y.gap") - F.col("y.pos"))
     close = more * (F.col("x.gap") + F.col("y.gap") - room) <= less * (F.col("x.n") + F.col("y.n"))
-    by_difference = pairs_of(keyed, close, labels)
 
     # Sets that are neither linked to the hub nor members of its group, with all others of the list.
     done = compared.where("link").select("set_id", "hub").union(members.select("set_id", "hub")).distinct().withColumn("done", F.lit(True))
     others = shared.where("set_id <> hub").join(done, ["set_id", "hub"], "left")
     others = materialize(others.select(F.col("list").alias("key"), "set_id", "n", "pos", F.col("done").isNull().alias("out")), "jaccard-others")
     fits = more * F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= percent * (F.col("x.n") + F.col("y.n"))
-    in_list = pairs_of(others, fits, labels)
+    for turn in range(TURNS):
+        star = linked_pairs(star_of(others, fits, labels, turn), sets, percent, made)
+        made.append(links)
+        links = materialize(links.union(star), "jaccard-links")
+        discard(labels)
+        labels = connected_components(links)
+    sketches = profile.where("n > 0").select("set_id", "sketch").dropDuplicates(["set_id"])
+    by_difference = pairs_of(keyed, close, labels, sketches, percent)
+    in_list = pairs_of(others, fits, labels, sketches, percent)
 
     rest = by_difference.union(in_list).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     roots = connected_components(links.union(linked_pairs(rest, sets, percent, made)))
