@@ -69,3 +69,19 @@ def test_many_matches_of_one_text(spark):
         assert [s.s for s in row.x] == [11 * k for k in range(n)]
         assert (row.x[0].l, row.x[1].l, row.x[-1].r) == ("", " é ", " é ")
     assert took[1] < 8 * max(0.5, took[0])
+
+
+def test_sketches_bound_what_sets_differ_in():
+    import numpy as np
+
+    from tarnflow.llm import jaccard
+
+    rng = np.random.default_rng(3)
+    for n in (1, 50, 2000):
+        for changed in (0, 1, n // 10, n):
+            a = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 1 << 64, changed, dtype=np.uint64)]))
+            a = np.unique(a)
+            places = np.bitwise_count(jaccard.sketch_of(a) ^ jaccard.sketch_of(b)).sum()
+            assert places <= len(np.setxor1d(a, b)) and len(jaccard.sketch_of(a)) == jaccard.SKETCH // 64
+            assert changed or not places
