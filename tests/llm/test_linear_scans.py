@@ -82,6 +82,6 @@ def test_sketches_bound_what_sets_differ_in():
             a = rng.integers(0, 1 << 64, n, dtype=np.uint64)
             b = np.unique(np.concatenate([a[changed:], rng.integers(0, 1 << 64, changed, dtype=np.uint64)]))
             a = np.unique(a)
-            places = np.bitwise_count(jaccard.sketch_of(a) ^ jaccard.sketch_of(b)).sum()
+            places = int(np.bitwise_count((jaccard.sketch_of(a) ^ jaccard.sketch_of(b)).view(np.uint64)).sum())
             assert places <= len(np.setxor1d(a, b)) and len(jaccard.sketch_of(a)) == jaccard.SKETCH // 64
             assert changed or not places
