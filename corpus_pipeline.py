@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.llm import bpe_tree, jaccard, langid, mixing, pii
-from tarnflow.llm.common import discard, materialize, table, unused
+from tarnflow.llm.common import apart, discard, materialize, table, unused
 
 #: Mean probability of the predicted language below which a text has no recognisable language.
 LEAST_SCORE = 0.4
@@ -46,11 +46,12 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     groups = jaccard.jaccard_components(rows, key, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
     ids = materialize(groups.select(F.col("doc_id").alias(key), F.col("component_id").alias(least)), "pipeline-groups")
     gone = materialize(ids.where(F.col(key) != F.col(least)).select(key).distinct(), "pipeline-gone")
-    kept = rows.join(gone, key, "left_anti")
+    kept, _ = apart(rows, key, gone)
     twice = materialize(ids.where(F.col(key) == F.col(least)).groupBy(key).agg(F.count("*").alias(least)).where(F.col(least) > 1).select(key), "pipeline-twice")
     discard(ids)
     if not twice.isEmpty():
-        kept = kept.join(twice, key, "left_anti").unionByName(kept.join(twice, key, "left_semi").dropDuplicates([key]))
+        alone, alike = apart(kept, key, twice)
+        kept = alone.unionByName(alike.dropDuplicates([key]))
     return kept.select(*docs.columns)
 
 
@@ -65,16 +66,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Each row is taken as often as its own plan says. Equal rows share theirs: they are
     taken once, as often as all of them together. Texts without words have no size and are left out
-    only where their source is.
+    only where their source is. The plan is one cut per source, so texts are not shuffled.
     """
-    key, times, rows, nth = (unused(c, docs.columns) for c in ("_row", "_times", "_rows", "_nth"))
+    key, draw, cut, nth = (unused(c, docs.columns) for c in ("_row", "_draw", "_cut", "_nth"))
     keyed = docs.withColumn(key, _content(docs))
-    plan = mixing.plan_repetitions(keyed, id_col=key).groupBy(F.col("doc_id").alias(key)).agg(F.sum("repetitions").alias(times), F.count("*").alias(rows))
-    plan = materialize(plan.where(F.col(times) > 0), "pipeline-plan")
-    once = keyed.join(plan, key)
-    if not plan.where(F.col(rows) > 1).isEmpty():
-        once = once.where(F.col(rows) == 1).unionByName(once.where(F.col(rows) > 1).dropDuplicates([key]))
-    return once.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    cuts = materialize(mixing.cuts_of(mixing.planned(keyed, id_col=key)), "pipeline-cuts").select(F.struct("*").alias(cut))
+    drawn = keyed.withColumn(draw, mixing.draw_of(F.col(key), F.col("text"))).join(cuts, F.col("source").eqNullSafe(F.col(f"{cut}.source")))
+    place, last = F.struct(F.col(draw).alias("draw"), F.col(key).alias("doc_id")), F.col(f"{cut}.last")
+    # Equal rows on both sides of a cut: what they are taken together goes to one of them.
+    split = F.coalesce((place == last) & F.col(f"{cut}.split").isNotNull(), F.lit(False))
+    times = F.when(place <= last, F.col(f"{cut}.most")).otherwise(F.col(f"{cut}.fewest"))
+    taken = drawn.where(~split).withColumn(nth, F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
+    if not cuts.where(F.col(f"{cut}.split").isNotNull()).isEmpty():
+        shared = drawn.where(split).dropDuplicates([key])
+        taken = taken.unionByName(shared.withColumn(nth, F.explode(F.array_repeat(F.lit(0), F.col(f"{cut}.split").cast("int")))))
+    return taken.select(*docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,8 @@ LARGE = 32
 TURNS = 1
 #: Places of the sketch that tells how much two sets differ in at least.
 SKETCH = 1024
+#: Set names that a task remembers, to give each set's tokens once. This does not change the result.
+SEEN = 1 << 20
 #: Set names that may be broadcast (8 bytes each), to read only these sets; more are joined.
 BROADCAST_NAMES = 1 << 19
 _BASE = 0xD6E8FEB86659FD93
@@ -204,19 +206,26 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def profiles(documents: DataFrame, id_col: str, text_col: str, words: int, percent: int, counters: np.ndarray) -> DataFrame:
-    """``doc_id, set_id, n, tokens, sketch``: name and size of each set, its prefix in the first order, and :func:`sketch_of` it."""
+    """``doc_id, set_id, n, tokens, sketch``: name and size of each set, its prefix in the first order, and :func:`sketch_of` it.
+
+    Of equal sets that one task meets only one has tokens and sketch.
+    """
     narrow = documents.select(documents[id_col].alias("doc_id"), documents[text_col].alias("text"))
     kind = dict(narrow.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             names, counts, tokens, sketches = [], [], [], []
             for text in batch.column("text"):
                 found = rare_first((text.as_py() or "").encode("utf-8"), counters, words)
                 counts.append(len(found))
                 names.append(class_of(found) if len(found) else None)
-                tokens.append(found[: prefix_length(len(found), percent)].view(np.int64) if len(found) else [])
-                sketches.append(sketch_of(found) if len(found) else None)
+                new = names[-1] is not None and names[-1] not in seen
+                tokens.append(found[: prefix_length(len(found), percent)].view(np.int64) if new else [])
+                sketches.append(sketch_of(found) if new else None)
+                if new and len(seen) < SEEN:
+                    seen.add(names[-1])
             columns = [batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(counts, pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in (tokens, sketches)]]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_id", "n", "tokens", "sketch"])
 
@@ -379,7 +388,8 @@ def pairs_of(keyed: DataFrame, near: Column, labels: DataFrame, sketches: DataFr
     least is outside the component that has most sets of the key; only such sets meet the others.
     """
     rows = keyed.join(labels, keyed["set_id"] == labels["node"], "left").withColumn("root", F.coalesce("root", "set_id")).drop("node")
-    rows = rows.join(sketches, "set_id")
+    # Sketches make these rows long: they are dealt once, for both windows and the pairs.
+    rows = rows.join(sketches, "set_id").repartition("key")
     same, key = Window.partitionBy("key", "root"), Window.partitionBy("key")
     rows = rows.withColumn("size", F.count("*").over(same)).withColumn("any_out", F.max("out").over(same))
     rows = rows.withColumn("largest", F.max(F.struct("size", "root", "any_out")).over(key))
@@ -420,10 +430,11 @@ def jaccard_components(
     """
     counters = count_words(documents, text_col)
     profile = materialize(profiles(documents, id_col, text_col, words, percent, counters), "jaccard-profiles")
-    classes = profile.where("n > 0").select("set_id", "n", "tokens").dropDuplicates(["set_id"])
-    tokens = classes.select("set_id", "n", F.posexplode("tokens").alias("pos", "token"))
+    tokens = profile.where("n > 0").select("set_id", "n", F.posexplode("tokens").alias("pos", "token"))
     # Size and place in one number, and size classes only once the tokens are dealt out: this is the largest thing that is.
     dealt = tokens.select("token", "set_id", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("place")).repartition("token")
+    # Equal sets that several tasks met are told from others where their tokens lie, not by shuffling whole lists of tokens before.
+    dealt = dealt.dropDuplicates(["token", "set_id", "place"])
     size = size_class(F.shiftright("place", 32), percent)
     lists = dealt.select("token", "set_id", "place", F.explode(F.array(size, size - 1)).alias("size"))
     whole = Window.partitionBy("token", "size")
@@ -478,7 +489,7 @@ def jaccard_components(
         links = materialize(links.union(star), "jaccard-links")
         discard(labels)
         labels = connected_components(links)
-    sketches = profile.where("n > 0").select("set_id", "sketch").dropDuplicates(["set_id"])
+    sketches = profile.where("sketch IS NOT NULL").select("set_id", "sketch").dropDuplicates(["set_id"])
     by_difference = pairs_of(keyed, close, labels, sketches, percent)
     in_list = pairs_of(others, fits, labels, sketches, percent)
 

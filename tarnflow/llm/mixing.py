@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnflow.llm.common import materialize
@@ -45,7 +45,12 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epo
     )
 
 
-def plan_repetitions(
+def draw_of(doc_id: Column, text: Column, seed: int = 7) -> Column:
+    """The seeded hash of id and text by which documents of a source are ordered, 32 bits."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string"), text)), 1, 8), 16, 10).cast("long")
+
+
+def planned(
     documents: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -55,10 +60,9 @@ def plan_repetitions(
     seed: int = 7,
     buckets: int = 1024,
 ) -> DataFrame:
-    """How often each document enters the mix.
+    """:func:`plan_repetitions` with ``draw, whole, most`` as well: place in the order, and repetitions after and before the source's cut.
 
-    Returns one row per input row: ``doc_id, size, source, source_size, target,
-    repetitions, taken``. Every document of a source is taken the whole number
+    Every document of a source is taken the whole number
     of times that fits the target; the fraction that remains goes to documents in
     the order of a seeded hash of id and text, until their words reach it, so a source misses
     its target by half a document at most. ``taken`` is ``size * repetitions``.
@@ -73,7 +77,7 @@ def plan_repetitions(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.col(text_col))), 1, 8), 16, 10).cast("long").alias("draw"),
+        draw_of(F.col(id_col), F.col(text_col), seed).alias("draw"),
     )
     drawn = materialize(sizes.withColumn("bucket", F.floor(F.col("draw") * buckets / F.lit(float(1 << 32))).cast("int")), "mixing-sizes")
 
@@ -90,10 +94,35 @@ def plan_repetitions(
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - F.col("whole") * F.col("source_size")
     extra = ((F.col("bucket_start") + F.col("inside")) * 2 + F.col("size") < rest * 2).cast("long")
+    most = F.lit(max_epochs).cast("long")
     return (
-        joined.withColumn("whole", whole.cast("long"))
-        .withColumn("repetitions", F.least(F.col("whole") + extra, F.lit(max_epochs).cast("long")))
-        .select("doc_id", "size", "source", "source_size", "target", "repetitions", (F.col("size") * F.col("repetitions")).alias("taken"))
+        joined.withColumn("whole", F.least(whole.cast("long"), most))
+        .withColumn("most", F.least(F.col("whole") + 1, most))
+        .withColumn("repetitions", F.least(F.col("whole") + extra, most))
+        .select("doc_id", "size", "source", "source_size", "target", "repetitions", (F.col("size") * F.col("repetitions")).alias("taken"), "draw", "whole", "most")
+    )
+
+
+def plan_repetitions(documents: DataFrame, **options) -> DataFrame:
+    """How often each document enters the mix, by the columns and bounds that :func:`planned` takes.
+
+    Returns one row per input row: ``doc_id, size, source, source_size, target,
+    repetitions, taken``.
+    """
+    return planned(documents, **options).select("doc_id", "size", "source", "source_size", "target", "repetitions", "taken")
+
+
+def cuts_of(plan: DataFrame) -> DataFrame:
+    """The plan in one row per source: ``source, fewest, most, last, split``.
+
+    Half of a document's words and all words before it never fall in the order of the plan, so the documents
+    that get one repetition more are the first ones: up to ``last``, a draw and an id. Rows with one draw and
+    id may lie on both sides of the cut; then ``split`` is how often they are taken together, else null.
+    """
+    place, more = F.struct("draw", "doc_id"), F.col("repetitions") > F.col("whole")
+    rows = plan.groupBy("source", "draw", "doc_id").agg(F.min("whole").alias("fewest"), F.max("most").alias("most"), F.max(more).alias("more"), F.when(F.min(more) != F.max(more), F.sum("repetitions")).alias("split"))
+    return rows.groupBy("source").agg(
+        F.min("fewest").alias("fewest"), F.max("most").alias("most"), F.max(F.when(F.col("more"), place)).alias("last"), F.max("split").alias("split")
     )
 
 

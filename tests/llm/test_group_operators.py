@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 from tarnflow.llm import bpe_tree, embeddings, jaccard, langid, mixing, pii, queries
-from tarnflow.llm.common import materialize
+from tarnflow.llm.common import apart, materialize
 from tarnflow.llm.components import connected_components
 
 
@@ -314,3 +314,46 @@ def test_run_is_its_stages(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, sf_dir), "test-stage")
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, docs.collect())) and docs.count() > 100
+
+
+def test_stages_do_not_shuffle_whole_texts(spark, sf_dir):
+    """Where nothing is small enough to be broadcast, only rows whose bit is set are dealt out, and none for the mix."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        kept, mixed = (dict(corpus_pipeline.STAGES)[name](spark, docs, sf_dir) for name in ("ngram_jaccard", "mix_sources"))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "getbit" in plan and all("getbit" in part for part in plan.split("Exchange hashpartitioning")[1:] if "text#" in part.split("Exchange")[0])
+        assert "Exchange hashpartitioning" not in mixed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 23])
+def test_rows_apart(spark, monkeypatch, bits):
+    monkeypatch.setattr("tarnflow.llm.common.PASS_BITS", bits)
+    rows = spark.createDataFrame([(k % 300 or None, k) for k in range(900)], "k long, n long")
+    without, within = apart(rows, "k", spark.createDataFrame([(k,) for k in range(0, 300, 2)], "k long"))
+    wanted = [(k % 300 or None, k) for k in range(900)]
+    assert sorted((r.n, r.k) for r in without.collect()) == [(n, k) for k, n in wanted if k is None or k % 2]
+    assert sorted((r.n, r.k) for r in within.collect()) == [(n, k) for k, n in wanted if k is not None and k % 2 == 0]
+
+
+def test_mix_of_many_equal_rows(spark, sf_dir):
+    """Equal rows on both sides of a source's cut are taken as often as their plans say together."""
+    rows = [(1, "a b c d", "en", "x", 7)] * 5 + [(k, "w " * k, "en", ["y", None][k % 2], 2 * k) for k in range(2, 9)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    found = dict(corpus_pipeline.STAGES)["mix_sources"](spark, docs, sf_dir)
+    digested = docs.select(corpus_pipeline._content(docs).alias("key"), "text", "source", "doc_id").collect()
+    times = plain_mix([(r.key, r.text, r.source) for r in digested])
+    assert len({n for r, n in zip(digested, times, strict=True) if r.doc_id == 1}) == 2
+    assert sorted(r.doc_id for r in found.collect()) == sorted(r.doc_id for r, n in zip(digested, times, strict=True) for _ in range(n))
+
+
+def test_pairs_are_dealt_once(spark):
+    keyed = spark.createDataFrame([(1, 1, 9, 0, True), (1, 2, 9, 0, True)], "key long, set_id long, n long, pos long, out boolean")
+    labels = spark.createDataFrame([], "node long, root long")
+    sketches = spark.createDataFrame([(k, [0] * 16) for k in (1, 2)], "set_id long, sketch array<long>")
+    pairs = jaccard.pairs_of(keyed, F.lit(True), labels, sketches, 80)
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2)]
+    assert "hashpartitioning(key#" in (plan := pairs._jdf.queryExecution().executedPlan().toString()) and not re.search(r"hashpartitioning\(key#\d+L?, root", plan)
