@@ -428,7 +428,8 @@ def join_shared_key(spark, sf_dir):
 @_query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_acctbal > c_acctbal + 9000")
 def join_theta(spark, sf_dir):
     supplier, customer = _read(spark, sf_dir, "supplier", "customer")
-    return joins.join(supplier, customer, "l.s_nationkey = r.c_nationkey AND l.s_acctbal > r.c_acctbal + 9000").select("s_suppkey", "c_custkey")
+    supplier, customer = supplier.select("s_suppkey", "s_nationkey", "s_acctbal"), customer.select("c_custkey", "c_nationkey", "c_acctbal")
+    return joins.inequality_join(supplier, customer, ("s_nationkey", "c_nationkey"), "s_acctbal", "c_acctbal + 9000").select("s_suppkey", "c_custkey")
 
 
 @_query("SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")

@@ -89,6 +89,34 @@ def join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", left_na
     return joined.select(*[F.col(f"{left_name}.{quote(c)}") for c in left.columns], *kept)
 
 
+def inequality_join(left: DataFrame, right: DataFrame, keys: tuple[str, str], greater: str, less: str, block_rows: int = 2048) -> DataFrame:
+    """Inner join on equal ``keys`` (one column of each side) and ``greater > less`` (expressions over the left's and the right's columns).
+
+    A plain join sends all rows of a key to one task. Here right rows are dealt by key and stretch of ``less``, about ``block_rows``
+    rows each (1,024 stretches of a key at most; rows with one value lie together), and left rows are copied to the stretches
+    that begin below them, so hardly any pair is looked at in vain and the tasks grow in number with the right side.
+    Columns of both sides have to differ in name.
+    """
+    spark = left.sparkSession
+    filed = right.withColumns({"__key": F.col(quote(keys[1])), "__less": F.expr(rewrite(less))}).where("__key IS NOT NULL AND __less IS NOT NULL")
+    asking = left.withColumns({"__key": F.col(quote(keys[0])), "__greater": F.expr(rewrite(greater))}).where("__key IS NOT NULL AND __greater IS NOT NULL")
+    most = 1024
+    cuts = F.percentile_approx("__less", F.array(*[F.lit(k / most) for k in range(1, most)]), 10_000).alias("cuts")
+    every = F.greatest(F.lit(1), F.floor(F.lit(most * block_rows) / F.col("n"))).cast("int").alias("every")
+    edges = filed.groupBy("__key").agg(cuts, F.count("*").alias("n")).select("__key", "cuts", every)
+    edges = edges.select("__key", F.filter("cuts", lambda _, at: (at + 1) % F.col("every") == 0).alias("__edges"))
+
+    def below(value: str) -> F.Column:
+        """How many edges are below a value, by halving."""
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("__edges", at + step - 1) < F.col(value), at + step).otherwise(at))
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-right.count() // block_rows))
+    blocks = filed.join(edges, "__key").withColumn("__block", below("__less")).drop("__edges").repartition(parts, "__key", "__block")
+    copies = asking.join(edges, "__key").withColumn("__block", F.explode(F.sequence(F.lit(0), below("__greater")))).drop("__edges").repartition(parts, "__key", "__block")
+    return copies.join(blocks, ["__key", "__block"]).where("__greater > __less").select(*[quote(c) for c in [*left.columns, *right.columns]])
+
+
 def broadcast_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", limit_bytes: int = 64 << 20, **names: str) -> DataFrame:
     """Join with the right side sent to all tasks if Spark's statistics bound it by ``limit_bytes``, else as Spark plans it.
 

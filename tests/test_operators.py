@@ -47,6 +47,18 @@ def test_anti_join_keeps_null_keys(spark):
     assert rows(joins.join(left, right, "l.k = r.k", "anti")) == [(2,), (None,)]
 
 
+def test_inequality_join_spreads_a_key(spark):
+    """A key's right rows lie in many tasks, and the rows are those of the plain join; null, NaN and equal values too."""
+    left = spark.createDataFrame([(k, [1, 2, None][k % 3], [float(k % 40), None, float("nan")][(k % 50) // 48]) for k in range(300)], "a long, ak int, av double")
+    right = spark.createDataFrame([(k, [1, 1, 1, 3, None][k % 5], [float(k % 61), 7.0, None, float("nan")][(k % 40) // 37]) for k in range(900)], "b long, bk int, bv double")
+    found = joins.inequality_join(left, right, ("ak", "bk"), "av", "bv + 5", block_rows=16)
+    plain = left.join(right, F.expr("ak = bk AND av > bv + 5"))
+    assert found.columns == ["a", "ak", "av", "b", "bk", "bv"] and rows(found) == rows(plain) and plain.count() > 1000
+    tasks = found.groupBy(F.spark_partition_id()).count().count()
+    assert found.select("bk").distinct().count() == 1 and tasks > 5
+    assert joins.inequality_join(left, right.limit(0), ("ak", "bk"), "av", "bv").count() == joins.inequality_join(left.limit(0), right, ("ak", "bk"), "av", "bv").count() == 0
+
+
 def test_as_of_join(spark):
     at = datetime(2024, 1, 1)
     facts = spark.createDataFrame([("a", at + timedelta(seconds=s), s) for s in (0, 5, 10, 20)] + [("b", at, 1), (None, at, 2)], "k string, t timestamp_ntz, n int")
