@@ -270,17 +270,24 @@ def _ids(width: int, packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, f"<u{width}").astype(np.uint32)
 
 
+def tally(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """How often each id occurs in batches of ``width, ids``: all documents of a batch are counted at once, not a table for each."""
+    counts = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        widths = batch.column("width").to_numpy()
+        for width in np.unique(widths).tolist():
+            more = np.bincount(_ids(width, b"".join(batch.column("ids").filter(pa.array(widths == width)).to_pylist())))
+            if len(more) > len(counts):
+                counts = np.pad(counts, (0, len(more) - len(counts)))
+            counts[: len(more)] += more
+    return counts
+
+
 def count_ids(tokens: DataFrame) -> DataFrame:
     """``id, n``: how often each id occurs, counted per task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for width, ids in zip(batch.column("width").to_pylist(), batch.column("ids"), strict=True):
-                more = np.bincount(_ids(width, ids.as_py()))
-                if len(more) > len(counts):
-                    counts = np.pad(counts, (0, len(more) - len(counts)))
-                counts[: len(more)] += more
+        counts = tally(batches)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["id", "n"])
 

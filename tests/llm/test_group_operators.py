@@ -6,12 +6,13 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from tarnflow.llm import bpe_tree, embeddings, jaccard, langid, mixing, pii, queries
+from tarnflow.llm import bpe_tree, embeddings, jaccard, langid, mixing, pii, queries, token_files
 from tarnflow.llm.common import apart, materialize
 from tarnflow.llm.components import connected_components
 
@@ -357,3 +358,16 @@ def test_pairs_are_dealt_once(spark):
     pairs = jaccard.pairs_of(keyed, F.lit(True), labels, sketches, 80)
     assert [tuple(r) for r in pairs.collect()] == [(1, 2)]
     assert "hashpartitioning(key#" in (plan := pairs._jdf.queryExecution().executedPlan().toString()) and not re.search(r"hashpartitioning\(key#\d+L?, root", plan)
+
+
+def test_ids_are_counted_a_batch_at_a_time(monkeypatch):
+    rnd, calls, plain = np.random.default_rng(3), [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    batches, wanted = [], np.zeros(1 << 17, np.int64)
+    for widths in ([2] * 200, [2, 4] * 50, []):
+        ids = [rnd.integers(0, 1 << (16 if w == 2 else 17), rnd.integers(0, 9)) for w in widths]
+        for some in ids:
+            np.add.at(wanted, some, 1)
+        batches.append(pa.RecordBatch.from_arrays([pa.array(widths, pa.int32()), pa.array([i.astype(f"<u{w}").tobytes() for i, w in zip(ids, widths, strict=True)], pa.binary())], names=["width", "ids"]))
+    found = token_files.tally(iter(batches))
+    assert len(calls) == 3 and found.sum() == wanted.sum() and (found == wanted[: len(found)]).all()
