@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.llm import bpe_tree, jaccard, langid, mixing, pii
-from tarnflow.llm.common import apart, discard, materialize, table, unused
+from tarnflow.llm.common import apart, discard, materialize, table, unused, without
 
 #: Mean probability of the predicted language below which a text has no recognisable language.
 LEAST_SCORE = 0.4
@@ -46,7 +46,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     groups = jaccard.jaccard_components(rows, key, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
     ids = materialize(groups.select(F.col("doc_id").alias(key), F.col("component_id").alias(least)), "pipeline-groups")
     gone = materialize(ids.where(F.col(key) != F.col(least)).select(key).distinct(), "pipeline-gone")
-    kept, _ = apart(rows, key, gone)
+    kept, _ = without(rows, key, gone)
     twice = materialize(ids.where(F.col(key) == F.col(least)).groupBy(key).agg(F.count("*").alias(least)).where(F.col(least) > 1).select(key), "pipeline-twice")
     discard(ids)
     if not twice.isEmpty():

@@ -74,17 +74,35 @@ def unused(name: str, taken: Iterable[str]) -> str:
     return name
 
 
-def apart(rows: DataFrame, key: str, some: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose ``key`` is not in ``some`` (a table with that column), and those whose is; a null key is in none.
-
-    A bitmap of fixed size lets most of the former pass as they lie; only rows whose bit is set are
-    shuffled, and the joins with these are exact, however full the bitmap is.
-    """
+def _hits(rows: DataFrame, key: str, some: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``key`` is not in ``some`` for certain, and those whose bit is set in a bitmap of fixed size over ``some``."""
     word, bits = unused("_word", rows.columns), unused("_bits", rows.columns)
-    slot = F.pmod(F.xxhash64(key), F.lit(PASS_BITS))
+    slot = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(PASS_BITS))
     place = F.pmod(slot, F.lit(64)).cast("int")
     packed = some.select(F.shiftright(slot, 6).alias(word), F.call_function("shiftleft", F.lit(1).cast("long"), place).alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
     marked = rows.withColumn(word, F.shiftright(slot, 6)).join(F.broadcast(packed), word, "left")
     hit = F.coalesce(F.getbit(F.col(bits), place), F.lit(0)) == 1
     passed, met = (marked.where(c).select(*rows.columns) for c in (~hit, hit))
+    return passed, met
+
+
+def apart(rows: DataFrame, key: str, some: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``key`` is not in ``some`` (a table with that column), and those whose is; a null key is in none.
+
+    A bitmap of fixed size lets most of the former pass as they lie; only rows whose bit is set are
+    shuffled, and the joins with these are exact, however full the bitmap is.
+    """
+    passed, met = _hits(rows, key, some, seed)
     return passed.unionByName(met.join(some, key, "left_anti")), met.join(some, key, "left_semi")
+
+
+def without(rows: DataFrame, key: str, some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first part of :func:`apart`, and a table that it reads.
+
+    Keys that share a bit with others are found first, without the rest of their rows, and rows that
+    go are told from them by a second bitmap: they are not shuffled to be dropped.
+    """
+    passed, met = _hits(rows, key, some, 0)
+    spared = materialize(met.select(key).where(F.col(key).isNotNull()).distinct().join(some, key, "left_anti"), "apart-spared")
+    nulls = met.where(F.col(key).isNull())
+    return passed.unionByName(nulls).unionByName(apart(met, key, spared, seed=1)[1]), spared

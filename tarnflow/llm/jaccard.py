@@ -44,7 +44,7 @@ CHUNKS = 64
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Bytes of text hashed in one go, and bits of the filter on texts that are read again.
 SEGMENT = 1 << 18
-FILTER_BITS = 1 << 23
+FILTER_BITS = 1 << 25
 #: Tables that one task adds up, and members from which a group is large. Neither changes the result.
 FAN_IN = 64
 LARGE = 32
@@ -190,15 +190,31 @@ def size_class(n: Column, percent: int = PERCENT) -> Column:
     return F.floor(F.log(n) / (math.log(100 / percent) * 1.001)).cast("int")
 
 
-def sketch_of(tokens: np.ndarray) -> np.ndarray:
-    """For each of SKETCH places whether an odd number of tokens falls on it, as 64-bit words.
+def sketch_of(tokens: np.ndarray, places: int = SKETCH) -> np.ndarray:
+    """For each of some places, a power of 2, whether an odd number of tokens falls on it, as 64-bit words.
 
-    Two sets differ in at least as many tokens as their sketches in places.
+    Two sets differ in at least as many tokens as their sketches in places. The halves of a
+    sketch, one xor the other, are the sketch with half the places.
     """
-    odd = np.bincount((tokens >> np.uint64(40)).astype(np.intp) % SKETCH, minlength=SKETCH) & 1
+    odd = np.bincount((tokens >> np.uint64(40)).astype(np.intp) % places, minlength=places) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch_of(tokens: np.ndarray) -> np.ndarray:
+    """:func:`sketch_of` with two places for each token at least, so that it tells long sets apart too."""
+    return sketch_of(tokens, max(64, 1 << min(24, (2 * len(tokens) - 1).bit_length())))
+
+
+def places_apart(a: str, b: str) -> Column:
+    """In how many places two sketches differ, the longer one folded to the length of the other."""
+    words = F.least(F.size(a), F.size(b))
+
+    def folded(sketch: str, word: Column) -> Column:
+        return F.aggregate(F.sequence(word, F.size(sketch) - 1, words), F.lit(0).cast("long"), lambda met, at: met.bitwiseXOR(F.get(sketch, at)))
+
+    return F.aggregate(F.sequence(F.lit(0), words - 1), F.lit(0), lambda found, word: found + F.bit_count(folded(a, word).bitwiseXOR(folded(b, word))))
+
+
 def class_of(tokens: np.ndarray) -> int:
     """A 64-bit name of a set: equal sets, equal names."""
     with np.errstate(over="ignore"):
@@ -243,17 +259,18 @@ def _filter_of(wanted: DataFrame) -> np.ndarray:
 
 
 def wanted_sets(documents: DataFrame, wanted: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
-    """``set_id, n, tokens, second, third`` of the sets named in ``wanted``, one row each.
+    """``set_id, n, all, second, third, wide`` of the sets named in ``wanted`` at least.
 
-    Texts are read again. A bitmap of fixed size lets most others go before they
-    are shuffled; the join after it is exact, however full the bitmap is.
+    Texts are read again. A bitmap of fixed size lets most other sets go, and nothing is
+    shuffled: :func:`distinct_sets` tells equal sets of several tasks apart where they are
+    dealt out for a join, and joins are exact, however full the bitmap is.
     """
     bitmap = _filter_of(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             rows: list[tuple] = []
-            seen: set[int] = set()
             for text in batch.column("text"):
                 tokens = shingle_set((text.as_py() or "").encode("utf-8"), words)
                 if not len(tokens):
@@ -262,14 +279,20 @@ def wanted_sets(documents: DataFrame, wanted: DataFrame, text_col: str, words: i
                 slot = name % FILTER_BITS
                 if name in seen or not (int(bitmap[slot >> 6]) >> (slot & 63)) & 1:
                     continue
-                seen.add(name)
+                if len(seen) < SEEN:
+                    seen.add(name)
                 # Half of a rank is enough for a filter: equal tokens stay equal.
-                rows.append((name, len(tokens), tokens.view(np.int64), *[(prefix(tokens, seed, percent) >> np.uint64(32)).astype(np.uint32).view(np.int32) for seed in ORDERS[1:]]))
-            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 2]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["set_id", "n", "all", "second", "third"])
+                rows.append((name, len(tokens), tokens.view(np.int64), *[(prefix(tokens, seed, percent) >> np.uint64(32)).astype(np.uint32).view(np.int32) for seed in ORDERS[1:]], wide_sketch_of(tokens)))
+            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 2, pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["set_id", "n", "all", "second", "third", "wide"])
+
+    found = map_batches(documents.select(documents[text_col].alias("text")), run, "set_id long, n long, all array<long>, second array<int>, third array<int>, wide array<long>")
+    return materialize(found, "jaccard-sets")
+
 
-    found = map_batches(documents.select(documents[text_col].alias("text")), run, "set_id long, n long, all array<long>, second array<int>, third array<int>")
-    return materialize(found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "jaccard-sets")
+def distinct_sets(sets: DataFrame, *columns: str) -> DataFrame:
+    """``set_id`` and columns that it determines, one row each."""
+    return sets.groupBy("set_id").agg(*[F.min(c).alias(c) for c in columns])
 
 
 def named(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -279,20 +302,25 @@ def named(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def filtered(pairs: DataFrame, sets: DataFrame, percent: int | None, made: list[DataFrame]) -> DataFrame:
-    """Pairs that pass the filters of size and of the other orders, with both sets: ``a, b, n_a, n_b, all_a, all_b``.
+    """Pairs that pass the filters of size, of the other orders and of wide sketches, with both sets: ``a, b, n_a, n_b, all_a, all_b``.
 
-    Without ``percent`` the size does not matter, and one of the other orders is enough.
+    Without ``percent`` size and sketches do not matter, and one of the other orders is enough.
     ``made`` gets the tables that the result reads.
     """
 
     def side(some: DataFrame, name: str, *columns: str) -> DataFrame:
-        return some.select(F.col("set_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+        return distinct_sets(some, *columns).select(F.col("set_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
     second, third = F.arrays_overlap("second_a", "second_b"), F.arrays_overlap("third_a", "third_b")
-    similar = second | third if percent is None else (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & second & third
+    if percent is None:
+        similar = second | third
+    else:
+        similar = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & second & third
+        similar = similar & ((100 + percent) * places_apart("wide_a", "wide_b") <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    tested = ("n", "second", "third") if percent is None else ("n", "second", "third", "wide")
     pairs = materialize(pairs, "jaccard-pairs")
     some = named(sets, pairs)
-    near = pairs.join(side(some, "a", "n", "second", "third"), "a").join(side(some, "b", "n", "second", "third"), "b").where(similar).select("a", "b", "n_a", "n_b")
+    near = pairs.join(side(some, "a", *tested), "a").join(side(some, "b", *tested), "b").where(similar).select("a", "b", "n_a", "n_b")
     near = materialize(near, "jaccard-candidates")
     made += [pairs, near]
     some = named(sets, near)
@@ -439,7 +467,8 @@ def jaccard_components(
     lists = dealt.select("token", "set_id", "place", F.explode(F.array(size, size - 1)).alias("size"))
     whole = Window.partitionBy("token", "size")
     bounds = {name: f(F.struct("set_id", "place")).over(whole) for name, f in (("first", F.min), ("last", F.max))}
-    shared = lists.withColumns(bounds | {"members": F.count("*").over(whole)}).where("first.set_id < last.set_id")
+    whose = F.bit_xor(F.xxhash64("set_id")).over(whole)
+    shared = lists.withColumns(bounds | {"members": F.count("*").over(whole), "whose": whose}).where("first.set_id < last.set_id AND set_id <> first.set_id")
 
     def n_of(place: str) -> Column:
         return F.shiftright(place, 32)
@@ -455,12 +484,14 @@ def jaccard_components(
     # Two sets alone in a list that cannot link by the places of the token have nothing to do with each other here.
     shared = shared.where((F.col("members") > 2) | can_link("first.place", "last.place"))
     to_hub = can_link("place", "first.place").alias("near_hub")
-    shared = shared.select(F.xxhash64("token", "size").alias("list"), "set_id", F.col("first.set_id").alias("hub"), n_of("place").alias("n"), (n_of("place") - after("place")).alias("pos"), to_hub)
+    # Lists with the same members are one, with the least place of each member; should others fall together with them, more pairs are looked at.
+    shared = shared.select(F.xxhash64("whose", "first.set_id", "members").alias("list"), "set_id", F.col("first.set_id").alias("hub"), n_of("place").alias("n"), (n_of("place") - after("place")).alias("pos"), to_hub, (F.col("members") > 2).alias("several"))
+    shared = shared.groupBy("list", "set_id", "hub", "n").agg(F.min("pos").alias("pos"), F.max("near_hub").alias("near_hub"), F.max("several").alias("several"))
     shared = materialize(shared, "jaccard-lists")
 
     made: list[DataFrame] = []
-    sets = wanted_sets(documents, shared.select("set_id").distinct(), text_col, words, percent)
-    to_hub = shared.where("set_id <> hub AND near_hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct()
+    sets = wanted_sets(documents, shared.select(F.explode(F.array("set_id", "hub")).alias("set_id")).distinct(), text_col, words, percent)
+    to_hub = shared.where("near_hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct()
     compared = materialize(compare_with_hubs(to_hub, sets, percent, made), "jaccard-hubs")
     members = centred(compared)
     sure, keyed = pairs_by_difference(members, percent)
@@ -480,7 +511,7 @@ def jaccard_components(
 
     # Sets that are neither linked to the hub nor members of its group, with all others of the list.
     done = compared.where("link").select("set_id", "hub").union(members.select("set_id", "hub")).distinct().withColumn("done", F.lit(True))
-    others = shared.where("set_id <> hub").join(done, ["set_id", "hub"], "left")
+    others = shared.where("several").join(done, ["set_id", "hub"], "left")
     others = materialize(others.select(F.col("list").alias("key"), "set_id", "n", "pos", F.col("done").isNull().alias("out")), "jaccard-others")
     fits = more * F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= percent * (F.col("x.n") + F.col("y.n"))
     for turn in range(TURNS):
@@ -489,7 +520,7 @@ def jaccard_components(
         links = materialize(links.union(star), "jaccard-links")
         discard(labels)
         labels = connected_components(links)
-    sketches = profile.where("sketch IS NOT NULL").select("set_id", "sketch").dropDuplicates(["set_id"])
+    sketches = distinct_sets(profile.where("sketch IS NOT NULL"), "sketch")
     by_difference = pairs_of(keyed, close, labels, sketches, percent)
     in_list = pairs_of(others, fits, labels, sketches, percent)
 

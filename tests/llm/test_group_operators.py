@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 from tarnflow.llm import bpe_tree, embeddings, jaccard, langid, mixing, pii, queries, token_files
-from tarnflow.llm.common import apart, materialize
+from tarnflow.llm.common import apart, materialize, without
 from tarnflow.llm.components import connected_components
 
 
@@ -340,6 +340,52 @@ def test_rows_apart(spark, monkeypatch, bits):
     assert sorted((r.n, r.k) for r in within.collect()) == [(n, k) for k, n in wanted if k is not None and k % 2 == 0]
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 23])
+def test_rows_without(spark, monkeypatch, bits):
+    """Rows that go are not dealt out to be dropped, unless their bit is that of a row that stays."""
+    monkeypatch.setattr("tarnflow.llm.common.PASS_BITS", bits)
+    rows = spark.createDataFrame([(k % 300 or None, k) for k in range(900)], "k long, n long")
+    some = spark.createDataFrame([(k,) for k in range(0, 300, 2)], "k long")
+    kept, spared = without(rows, "k", some)
+    assert sorted((r.n, r.k) for r in kept.collect()) == [(k, k % 300 or None) for k in range(900) if not k % 300 or k % 2]
+    assert (spared.count() > 0) == (bits == 64)
+
+
+def test_lists_and_sets_stay_small(spark, monkeypatch):
+    """Lists with the same members are one, and whole sets are not dealt out before a pair asks for them."""
+    written, plain = {}, jaccard.materialize
+
+    def held(df, label, *more):
+        written.setdefault(label, []).append((df._jdf.queryExecution().executedPlan().toString(), out := plain(df, label, *more)))
+        if label == "jaccard-lists":
+            written["rows"] = [tuple(r) for r in out.select("set_id", "hub").collect()]
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", held)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join([*base, f"end{k}"])) for k in range(4)]
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.component_id for r in found.collect()] == [0] * 4
+    # Two classes of size at most for each of three sets and its hub; the prefix has 40 shared tokens.
+    assert 3 <= len(written["rows"]) <= 2 * 3 and len(set(written["rows"])) == 3
+    assert "Exchange" not in written["jaccard-sets"][0][0]
+
+
+def test_wide_sketches_tell_long_sets_apart(spark):
+    """Folded to the shorter one's length they bound what sets differ in, and few pairs of long unlike sets pass."""
+    rnd = np.random.default_rng(5)
+    whole = rnd.integers(0, 1 << 63, 12_000, dtype=np.uint64)
+    pairs = [(whole[:3000], whole[3000:6500]), (whole[:4000], whole[100:4200]), (whole[:5], whole[2:9]), (whole, whole[:3000]), (whole[:1], whole[:1])]
+    rows = [tuple([int(x) for x in jaccard.wide_sketch_of(s).view(np.int64)] for s in pair) for pair in pairs]
+    found = [r[0] for r in spark.createDataFrame(rows, "x array<long>, y array<long>").select(jaccard.places_apart("x", "y")).collect()]
+    differ = [len(np.setxor1d(a, b)) for a, b in pairs]
+    assert all(f <= d for f, d in zip(found, differ, strict=True)) and found[-1] == 0
+    assert 190 * found[0] > 10 * 6500 and 180 * found[0] > 20 * 6500 and 190 * found[1] <= 10 * 8100
+    for (a, b), n in zip(pairs, found, strict=True):
+        places = min(64 * len(jaccard.wide_sketch_of(s)) for s in (a, b))
+        assert n == int(np.bitwise_count((jaccard.sketch_of(a, places) ^ jaccard.sketch_of(b, places)).view(np.uint64)).sum())
+
+
 def test_mix_of_many_equal_rows(spark, sf_dir):
     """Equal rows on both sides of a source's cut are taken as often as their plans say together."""
     rows = [(1, "a b c d", "en", "x", 7)] * 5 + [(k, "w " * k, "en", ["y", None][k % 2], 2 * k) for k in range(2, 9)]
